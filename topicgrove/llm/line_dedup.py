@@ -79,7 +79,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = places.where("only is null or only = k2").select("doc_id", "doc_hash", "line_no", F.coalesce("root", "k1").alias("root"), F.coalesce("only", F.lit(0)).alias("only"))
     places = written(places, "places")
     place = F.struct("doc_id", "doc_hash", "line_no")
-    first = places.groupBy("root", "only").agg(F.min(place).alias("first"))
+    # written, so that the join deals both sides itself and may split a group of very many places
+    first = written(places.groupBy("root", "only").agg(F.min(place).alias("first")), "first")
     return places.join(first, ["root", "only"]).where(place != F.col("first")).select("doc_id", "doc_hash", "line_no", "root").distinct()
 
 
