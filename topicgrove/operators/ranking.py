@@ -8,14 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicgrove.operators.graph import sym_normalized
-
-
-def held(df: DataFrame) -> DataFrame:
-    """``df`` computed once: what a round reads several times, or plans would double with each round.
-
-    checkpoint() where the session names a checkpoint folder, which also cuts the lineage; else persist().
-    """
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+from topicgrove.sources.checkpoints import held
 
 
 def uniform_reset(seeds: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicgrove.functions.text import uniform
-from topicgrove.operators.ranking import held
+from topicgrove.sources.checkpoints import held
 
 
 def _indexed(edges: DataFrame, weighted: bool = False, *by: str) -> DataFrame:

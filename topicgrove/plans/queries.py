@@ -14,6 +14,7 @@ from topicgrove.functions import text as X
 from topicgrove.functions import vectors as V
 from topicgrove.operators import clustering, contrast, embedding, graph, motifs, ranking, text_stats, topk, walks
 from topicgrove.sources import star
+from topicgrove.sources.checkpoints import held
 from topicgrove.sources.network import Network, symmetrized, without_typed_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,8 +353,8 @@ SCORES_SQL = f"{AUTHORITY}{_authority_sql(4)}, s1 AS (SELECT cluster, dst, b / s
 
 
 def _instance_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    context = ranking.held(motifs.TermVenue().match(_net(spark, sf_dir)))
-    seeds = ranking.held(_seeds(spark, sf_dir))
+    context = held(motifs.TermVenue().match(_net(spark, sf_dir)))
+    seeds = held(_seeds(spark, sf_dir))
     k = seeds.select("cluster").distinct().count()
     scores = motifs.instance_scores(seeds, context, k).select(F.lit("KPV").alias("motif"), "instance", F.round("score", 9).alias("score"))
     return context, scores

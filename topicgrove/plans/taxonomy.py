@@ -12,6 +12,7 @@ from topicgrove.functions.text import decayed
 from topicgrove.operators import clustering, contrast, motifs, ranking, text_stats, topk
 from topicgrove.operators.embedding import Sgns
 from topicgrove.operators.graph import lookup
+from topicgrove.sources.checkpoints import held
 from topicgrove.sources.network import Config, Network
 
 
@@ -71,7 +72,7 @@ class Builder:
 
     @staticmethod
     def held(df: DataFrame) -> DataFrame:
-        return ranking.held(df)
+        return held(df)
 
     def stats(self, docs: DataFrame, terms: DataFrame) -> DataFrame:
         """(term, tf, idf) of terms over documents weighted by their prior."""
