@@ -150,8 +150,7 @@ class WordEncoder:
         return [stem, word[len(stem) :]] if len(stem) < len(word) and stem[-1:].isalpha() else [word]
 
     def learn(self, words: set[bytes]) -> None:
-        new = {p for w in words for p in self._split(w)} - self.parts.keys()
-        new = list(new)
+        new = [p for p in {p for w in words for p in self._split(w)} if p not in self.parts]
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             self.parts.update(zip(some, self._library([w.decode("utf-8", "surrogatepass") for w in some]), strict=True))
