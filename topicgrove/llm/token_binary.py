@@ -23,7 +23,7 @@ MAGIC = b"TGPACK01"
 #: bits, ids a block, documents, ids, blocks, where the tables begin
 TRAILER = struct.Struct("<IIQQQQ8s")
 BLOCK_IDS = 1 << 16
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -129,6 +129,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
@@ -151,6 +152,10 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         new = [p for p in {p for w in words for p in self._split(w)} if p not in self.parts]
+        plain = [p for p in new if p.isalpha() and p.isascii()]
+        for part in plain:  # lower-case letters: one piece to the splitter, nothing to normalize
+            self.parts[part] = np.array([t.id for t in self.model.tokenize(part.decode())], "<u4").tobytes()
+        new = [p for p in new if p not in self.parts]
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             self.parts.update(zip(some, self._library([w.decode("utf-8", "surrogatepass") for w in some]), strict=True))
@@ -159,11 +164,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian uint32 ids of each text."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
         for text in texts:
+            for cache in (self.words, self.parts):
+                if len(cache) > CACHED_WORDS:
+                    cache.clear()
             text = text or ""
             if self.special.search(text):
                 yield self._library([text])[0]
