@@ -4,6 +4,7 @@ import io
 import re
 import zlib
 from collections import Counter
+from random import Random
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +54,18 @@ def test_words_encode_as_the_library_does(corpus):
     assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_all_sorts_encode_as_the_library_does(monkeypatch):
+    """Letters that compose, lower-case or normalize in their own way, marks and control characters; halves that turn."""
+    monkeypatch.setattr(token_binary, "CACHED_WORDS", 50)
+    encoder = token_binary.WordEncoder(WORD_BPE)
+    random = Random(7)
+    chars = [chr(c) for c in range(1, 0x250)] + list("ΣςІ中\u0327\u0301\u212b\u1e9e\ufb01\u3000٣½²ªº’") + list("aeiost '#,.") * 12
+    texts = ["".join(random.choices(chars, k=random.randint(1, 40))) for _ in range(4000)]
+    texts += ["'s 't don't DON'T İstanbul ǅ ŉ ß ſt ÿ' é, É!! a_b __ á x'S<|endoftext|>y", "\x06 \x06,", ""]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_token_file_query(spark, corpus):
     from tokenizers import Tokenizer
 

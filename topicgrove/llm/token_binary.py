@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +25,12 @@ MAGIC = b"TGPACK01"
 #: bits, ids a block, documents, ids, blocks, where the tables begin
 TRAILER = struct.Struct("<IIQQQQ8s")
 BLOCK_IDS = 1 << 16
-CACHED_WORDS = 250_000
+#: of each half
+CACHED_WORDS = 200_000
+ASCII_MARKS = string.punctuation.encode()
+_shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: how byte-level models spell a byte: itself where it can be shown, else the next letter from U+0100 on
+BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _shown], range(256, 512), strict=False))
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -120,8 +127,10 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, each word of a text encoded once and kept.
 
     The vocabulary's normalizer and splitter never join what ASCII white space parts, so a text's ids are those of
-    its words in a row. A text that holds an added token's string goes to the library whole. Dots and commas after
-    an ASCII letter are words of their own to the splitter; ASCII words are lower-cased first, as it would itself.
+    its words in a row. A text that holds an added token's string goes to the library whole. To the splitter a run of
+    letters is one piece and the ASCII marks that end a word another one. Letters below U+0250 are composed already,
+    so such a run is lower-cased, spelt by its bytes and given to the library's model; all else to the library whole.
+    Words are kept in two halves: when the newer is full it becomes the older, from which words in use come back.
     """
 
     def __init__(self, path: str):
@@ -132,42 +141,49 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _word(self, word: bytes) -> bytes:
-        """Ids of one word, put together from its parts."""
-        found = [self.parts[p] for p in self._split(word)]
-        return found[0] if len(found) == 1 else b"".join(found)
-
-    @staticmethod
-    def _split(word: bytes) -> list[bytes]:
-        if not word.isascii():
-            return [word]
-        word = word.lower()
-        stem = word.rstrip(b".,")
-        return [stem, word[len(stem) :]] if len(stem) < len(word) and stem[-1:].isalpha() else [word]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, run: bytes) -> bytes | None:
+        """Ids of a lower-cased run of letters; None if the run is not plain enough for the model alone."""
+        if not run.isalpha():  # of bytes: ASCII letters
+            text = "" if run.isascii() else run.decode("utf-8", "surrogatepass")
+            if not text.isalpha() or max(text) >= "\u0250":
+                return None
+        found = self.words.get(run) or self.older.get(run)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(run.decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        self.words[run] = found
+        return found
 
     def learn(self, words: set[bytes]) -> None:
-        new = [p for p in {p for w in words for p in self._split(w)} if p not in self.parts]
-        plain = [p for p in new if p.isalpha() and p.isascii()]
-        for part in plain:  # lower-case letters: one piece to the splitter, nothing to normalize
-            self.parts[part] = np.array([t.id for t in self.model.tokenize(part.decode())], "<u4").tobytes()
-        new = [p for p in new if p not in self.parts]
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            self.parts.update(zip(some, self._library([w.decode("utf-8", "surrogatepass") for w in some]), strict=True))
+        others, kept = [], self.words
         for word in words:
-            self.words[word] = self._word(word)
+            found = self.older.get(word)
+            if found is None:
+                stem = word.rstrip(ASCII_MARKS)
+                run = stem.lower() if stem.isascii() else stem.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass")
+                found = self._letters(run) if run else None
+                if found is not None and len(stem) < len(word):
+                    marks = word[len(stem) :]
+                    if marks not in kept:
+                        kept[marks] = self._library([marks.decode()])[0]
+                    found += kept[marks]
+            if found is None:
+                others.append(word)
+            else:
+                kept[word] = found
+        for i in range(0, len(others), 4096):
+            some = others[i : i + 4096]
+            kept.update(zip(some, self._library([w.decode("utf-8", "surrogatepass") for w in some]), strict=True))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian uint32 ids of each text."""
         for text in texts:
-            for cache in (self.words, self.parts):
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
+            if len(self.words) > CACHED_WORDS:
+                self.words, self.older = {}, self.words
             text = text or ""
             if self.special.search(text):
                 yield self._library([text])[0]
