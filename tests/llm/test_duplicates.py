@@ -255,3 +255,30 @@ def test_shingles_cover_a_line(parts):
     for m in re.finditer(r"(?s)(?=(.{1,12}))[^ ]{1,12}", line):
         covered |= set(range(m.start(), m.start() + len(m[1])))
     assert {i for i, c in enumerate(line) if c != " "} <= covered
+
+
+def test_lines_of_a_template_link_to_any_line_of_their_bucket(spark):
+    """Lines that share a bucket's head are linked among themselves, in one block and in many."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("bcdfghjklmnp", k=8))
+    template = [word() for _ in range(14)]
+    texts = []
+    for _ in range(150):
+        own = [word() for _ in range(8)]
+        texts += [" ".join(template[:7] + own + template[7:]), " ".join(template[:7] + own + template[7:-1] + [word()])]
+    sets = [line_set(x) for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {(i, j) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near == {(i, i - 1) for i in range(1, 300, 2)}
+    # one bucket for all, so that a pair can only be missed inside it
+    lines = line_dedup._lines(df, "doc_id", "text")
+    bands = lines.select("k1", "k2", F.lit(1).alias("places"), *[F.lit(i).cast("long").alias(f"b{i}") for i in range(len(line_dedup.MASKS))])
+    block = line_dedup.BLOCK
+    for line_dedup.BLOCK in (block, 64):
+        try:
+            label = line_dedup._near_lines(bands, lines).collect()
+        finally:
+            line_dedup.BLOCK = block
+        assert len(label) == 150
+    got = {r["doc_id"] for r in line_dedup.line_report(df).where("n_dropped > 0").collect()}
+    assert len(got) >= 147 and got <= set(range(1, 300, 2))

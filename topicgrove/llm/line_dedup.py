@@ -15,6 +15,9 @@ _SHINGLE = rf"(?s)(?=(.{{1,{SHINGLE}}}))[^ ]{{1,{SHINGLE}}}"
 #: smallest and the largest; a pair of similarity s misses all bands with chance (1 - s^2)^5, 0.6 % at 0.8.
 MASKS = [0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x1B56C4E95D2F3A71]
 
+#: Rows of a bucket that are compared in one block, and the share of pairs that a round of comparisons must link.
+BLOCK, ENOUGH = 1024, 1 / 16
+
 
 def line_shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
@@ -41,36 +44,114 @@ def _bands(lines: DataFrame) -> DataFrame:
     return signed.groupBy("k1", "k2").agg(F.count("*").alias("places"), *[F.any_value(f"b{i}").alias(f"b{i}") for i in range(len(MASKS))])
 
 
-def _links(bands: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b): verified links between distinct lines, named by k1.
-
-    In each bucket every member is paired with the smallest one, a row a member; bucket sizes are never squared.
-    """
-    rows = bands.select("k1", F.explode(F.array(*[f"b{i}" for i in range(len(MASKS))])).alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("k1").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    pairs = written(rows.join(heads, "bucket").where("k1 <> head").select(F.col("k1").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+def _sets(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """(k1, shingles): the 64-bit hashes of the shingle set of each wanted line, once."""
     texts = maybe_among(lines.select("k1", "line"), wanted, "k1").join(wanted, "k1", "left_semi")
-    sets = written(texts.groupBy("k1").agg(F.any_value("line").alias("line")).select("k1", F.array_distinct(line_shingles(F.col("line"))).alias("shingles")), "sets")
+    return written(texts.groupBy("k1").agg(F.any_value("line").alias("line")).select("k1", F.array_distinct(F.transform(line_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("shingles")), "sets")
+
+
+def _similar(a: str, b: str) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return common >= F.lit(THRESHOLD) * (F.size(a) + F.size(b) - common)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have an exact Jaccard similarity of THRESHOLD at least."""
     one = sets.select(F.col("k1").alias("a"), F.col("shingles").alias("of_a"))
     two = sets.select(F.col("k1").alias("b"), F.col("shingles").alias("of_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    alike = common >= F.lit(THRESHOLD) * (F.size("of_a") + F.size("of_b") - common)
-    return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b")
+    return written(pairs.join(one, "a").join(two, "b").where(_similar("of_a", "of_b")).select("a", "b"), "alike")
+
+
+def _named(rows: DataFrame, label: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the component of the line in ``key`` as a column ``name``."""
+    step = label.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return rows.join(step, F.col(key) == F.col("_node"), "left").withColumn(name, F.coalesce("_root", key)).drop("_node", "_root")
+
+
+def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) once the components of ``label`` are joined by further links between lines."""
+    if label is None:
+        return written(components(links), "lines")
+    between = _named(_named(links, label, "a", "x"), label, "b", "y").select("x", "y")
+    over = components(between, "x", "y")
+    step = over.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = label.join(step, label.root == step.old, "left").select("node", F.coalesce("new", "root").alias("root"))
+    return written(moved.unionByName(over), "lines")
+
+
+def _parity(hashes: Column) -> list[Column]:
+    """128 bits of a set, each the parity of the elements that hash to it: sets that differ in d elements differ in d bits at most."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return [
+        F.aggregate(F.filter(hashes, lambda h, w=w: h.bitwiseAND(F.lit(64)) == w), F.lit(0).cast("long"), lambda m, h: m.bitwiseXOR(bit(h))).alias(f"p{w}")
+        for w in (0, 64)
+    ]
+
+
+def _across(shared: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a bucket's lines that are alike and in different components, compared in blocks.
+
+    A pair of Jaccard similarity t has a symmetric difference of (1 - t) / (1 + t) of both sizes at most, so pairs
+    whose parities differ in more bits are passed over: none that is alike is. The sets stand in the rows and are
+    compared inside the join, so that only links leave it.
+    """
+    named = _named(shared, label, "k1", "comp")
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
+    members = written(named.join(mixed, "bucket").select("bucket", "k1", "comp", F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks")), "mixed")
+    marks = sets.join(members.select("k1").distinct(), "k1", "left_semi").select("k1", "shingles", F.size("shingles").alias("size"), *_parity(F.col("shingles")))
+    rows = members.join(written(marks, "marks"), "k1").withColumn("mine", F.pmod(F.xxhash64("k1"), F.col("blocks")))
+    spread = lambda least, most: F.explode(F.sequence(least, most))
+    end = F.col("blocks") - 1
+    left = rows.select("bucket", F.col("mine").alias("i"), spread(F.col("mine"), end).alias("j"), *[F.col(c).alias(f"a_{c}") for c in ("k1", "comp", "size", "p0", "p64", "shingles")])
+    right = rows.select("bucket", spread(F.lit(0).cast("long"), F.col("mine")).alias("i"), F.col("mine").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("k1", "comp", "size", "p0", "p64", "shingles")])
+    bits = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in ("p0", "p64"))
+    # nine times the bits, as (1 - 0.8) / (1 + 0.8) is 1 / 9
+    near = (9 * bits <= F.col("a_size") + F.col("b_size")) & (F.col("a_comp") != F.col("b_comp")) & ((F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1")))
+    # _similar comes last: the cheap tests spare most pairs the sets
+    met = left.join(right, ["bucket", "i", "j"]).where(near & _similar("a_shingles", "b_shingles"))
+    return met.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b")).distinct()
+
+
+def _near_lines(bands: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node, root): components of the distinct lines, named by k1, that are alike and share a bucket.
+
+    1. In each bucket every member is compared with the smallest one, a row a member. Those left in another component
+       than it do so again among themselves, as long as a round links ENOUGH of its pairs: thousands of near copies
+       become one component without a pair each.
+    2. Buckets that still hold several components are compared in full, and verified pairs link the rest.
+    """
+    rows = bands.select("k1", F.explode(F.array(*[f"b{i}" for i in range(len(MASKS))])).alias("bucket")).distinct()
+    several = rows.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = written(rows.join(several, "bucket"), "shared")
+    sets, label, rest = None, None, shared
+    while True:
+        heads = rest.groupBy("bucket").agg(F.min("k1").alias("head"))
+        met = written(rest.join(heads, "bucket").where("k1 <> head"), "met")
+        pairs = written(met.select(F.col("k1").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
+        if sets is None:
+            sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), lines)
+        links = _alike(pairs, sets)
+        label = _merged(label, links)
+        rest = written(_named(_named(met, label, "k1", "x"), label, "head", "y").where("x <> y").select("bucket", "k1"), "rest")
+        if rest.isEmpty() or links.count() < ENOUGH * pairs.count():
+            break
+    links = written(_across(shared, label, sets), "links")
+    return label if links.isEmpty() else _merged(label, links)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_hash, line_no, root): places of lines that repeat an earlier line, to be dropped.
 
     Lines are parted by line feeds; blank ones are never dropped. Equal lines are one vertex. Distinct lines meet
-    by bands of MinHash over their character shingles, are linked at an exact Jaccard similarity of 0.8, and a
+    by bands of MinHash over their character shingles, are linked at an exact Jaccard similarity of 0.8 to any line of
+    a common bucket, and a
     distributed union-find gives the components; in each the first place in (doc_id, doc_hash, line_no) stays.
     ``doc_hash`` is xxhash64 of the whole text: rows with equal id and text are one place each line, rows with equal id
     and other texts are documents of their own. Null ids come first; null and empty texts have no lines.
     """
     lines = _lines(docs, id_col, text_col)
     bands = written(_bands(lines), "bands")
-    label = written(components(_links(bands, lines)), "lines")
+    label = _near_lines(bands, lines)
     near = label.select(F.col("node").alias("k1"), "root").unionByName(label.select(F.col("root").alias("k1"), "root").distinct())
     copied = bands.where("places > 1").select("k1", "k2").join(near, "k1", "left_anti")
     groups = written(near.select("k1", F.lit(None).cast("long").alias("only"), "root").unionByName(copied.select("k1", F.col("k2").alias("only"), F.lit(None).cast("long").alias("root"))), "groups")
