@@ -282,3 +282,14 @@ def test_lines_of_a_template_link_to_any_line_of_their_bucket(spark):
         assert len(label) == 150
     got = {r["doc_id"] for r in line_dedup.line_report(df).where("n_dropped > 0").collect()}
     assert len(got) >= 147 and got <= set(range(1, 300, 2))
+
+
+def test_lines_without_spaces_survive_an_insertion(spark):
+    rng = random.Random(8)
+    japanese = "".join(chr(rng.randrange(0x3042, 0x3090)) for _ in range(70))
+    row = "\t".join(str(rng.randrange(10**4, 10**6)) for _ in range(30))
+    url = "://example.org/" + "".join(rng.choices("abcdefgh/-0123", k=90))
+    wide = "\u3000".join("".join(chr(rng.randrange(0x3042, 0x3090)) for _ in range(5)) for _ in range(30))
+    texts = [japanese, "\u3001" + japanese, row, "1" + row, "http" + url, "https" + url, wide, "\u3042" + wide]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.line_report(df).where("n_dropped > 0").collect()} == {1, 3, 5, 7}

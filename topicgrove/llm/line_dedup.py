@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from topicgrove.llm.components import components
 from topicgrove.llm.storage import maybe_among, written
 
-#: A shingle is the SHINGLE characters from a word's start on (or from each SHINGLE-th character of a longer word).
+#: A shingle is the SHINGLE characters from the start of a run without separators on, or from its SHINGLE-th character on.
+#: A run of more than twice SHINGLE, or a longer one that is the whole line, gives those of each place from which
+#: SHINGLE characters of it follow, so that an insertion shifts none of the others.
 SHINGLE, THRESHOLD = 12, 0.8
-_SHINGLE = rf"(?s)(?=(.{{1,{SHINGLE}}}))[^ ]{{1,{SHINGLE}}}"
+_IN = r"[^ \t\u3000]"
+_LONG = rf"(?<!{_IN}){_IN}(?={_IN}{{{2 * SHINGLE}}})|\A{_IN}(?={_IN}{{{SHINGLE},}}\z)"
+_SHINGLE = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:{_LONG}|(?<={_IN}){_IN}(?={_IN}{{{SHINGLE}}})|{_IN}{{1,{SHINGLE}}}+)"
 #: One permutation a mask: the order of 64-bit hashes XOR the mask. Each gives a band of two MinHash values, the
 #: smallest and the largest; a pair of similarity s misses all bands with chance (1 - s^2)^5, 0.6 % at 0.8.
 MASKS = [0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x1B56C4E95D2F3A71]
