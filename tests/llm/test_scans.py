@@ -170,3 +170,10 @@ def test_pii_edges(edge, empty):
     found = pii.personal_data(edge)
     assert found.where(F.size("pii") > 0).count() == 0 and found.count() == edge.count()
     assert pii.personal_data(empty).count() == 0
+
+
+def test_context_words_count_before_other_matches(spark):
+    texts = ["Amex card no. 2: 378282246310005", "SSN 219-09-9998, 219-09-9997", "SSN 219-09-9998" + " and so on" * 5 + " 219-09-9997"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [[(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["pii"]] for r in pii.personal_data(df).orderBy("doc_id").collect()]
+    assert got == [[("short_card", "378282246310005")], [("ssn", "219-09-9998"), ("ssn", "219-09-9997")], [("ssn", "219-09-9998")]]

@@ -81,19 +81,23 @@ def _spans(text: Column, kind: str) -> Column:
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     span = "struct<start:int,end:int,score:double>"
 
+    def last(piece: Column) -> Column:
+        return F.substring(piece, F.greatest(F.lit(1), F.length(piece) - NEARBY + 1), F.lit(NEARBY))
+
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["between"])
         end = start + F.length(pair["match"])
-        near = F.substring(pair["between"], F.greatest(F.lit(1), F.length(pair["between"]) - NEARBY + 1), F.lit(NEARBY))
+        near = last(F.concat(state["near"], last(pair["between"])))
         worth = F.lit(score) + F.when(near.rlike(rf"(?i)\b(?:{context})"), gain).otherwise(0.0)
         keep = _confirmed(kind, pair["match"])
         if kind not in BASE:
             keep = keep & (worth >= LEAST_SCORE)
         one = F.array(F.struct(start.alias("start"), end.alias("end"), worth.alias("score")))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["spans"], one)).otherwise(state["spans"]).alias("spans"))
+        seen = last(F.concat(near, last(pair["match"])))
+        return F.struct(end.alias("at"), seen.alias("near"), F.when(keep, F.concat(state["spans"], one)).otherwise(state["spans"]).alias("spans"))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(b.alias("between"), m.alias("match")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("near"), F.array().cast(f"array<{span}>").alias("spans"))
     found = F.aggregate(pairs, first, step)["spans"]
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{span}>"))
 
