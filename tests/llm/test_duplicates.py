@@ -293,3 +293,12 @@ def test_lines_without_spaces_survive_an_insertion(spark):
     texts = [japanese, "\u3001" + japanese, row, "1" + row, "http" + url, "https" + url, wide, "\u3042" + wide]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in line_dedup.line_report(df).where("n_dropped > 0").collect()} == {1, 3, 5, 7}
+
+
+def test_short_lines_meet_as_often_as_stated(spark):
+    rng = random.Random(4)
+    words = [["".join(rng.choices("abcdefghijkl", k=12)) for _ in range(5)] for _ in range(1500)]
+    texts = [" ".join(w[:n]) for w in words for n in (4, 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dropped = line_dedup.line_report(df).where("n_dropped > 0").count()
+    assert 0.97 * 1500 <= dropped <= 1500  # a chance of 1 % each
