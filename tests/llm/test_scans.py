@@ -177,3 +177,10 @@ def test_context_words_count_before_other_matches(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = [[(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["pii"]] for r in pii.personal_data(df).orderBy("doc_id").collect()]
     assert got == [[("short_card", "378282246310005")], [("ssn", "219-09-9998"), ("ssn", "219-09-9997")], [("ssn", "219-09-9998")]]
+
+
+def test_openrail_in_one_word_is_found(spark):
+    texts = ["OpenRAIL license", "the CreativeML OpenRAIL M license", "an Open RAIL license", "openrail license and a rail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [[d["label"] for d in r["scan"]["detections"]] for r in license_scan.license_scan(df).orderBy("doc_id").collect()]
+    assert got == [["rail"]] * 4

@@ -194,6 +194,7 @@ commons-clause|2|commons|commons clause(?: licen[sc]e)?(?: condition)?
 polyform-nc|2|polyform|polyform noncommercial licen[sc]e(?: 1 0 0)?
 polyform|1|polyform|polyform \S+(?: \S+)? licen[sc]e
 rail|2|rail|(?:creativeml )?open ?rail(?: m| s| \S+)? licen[sc]e
+rail|2|openrail|(?:creativeml )?openrail(?: m| s| \S+)? licen[sc]e
 bigscience-rail|2|bigscience|bigscience rail licen[sc]e(?: v1 0)?
 cc0-1.0|3|dedicat|has dedicated the work to the public domain by waiving all
 cc0-1.0|2|cc0|cc0(?: 1 0)?(?: universal)?
