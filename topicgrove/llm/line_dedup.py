@@ -6,65 +6,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicgrove.llm.components import components
-from topicgrove.llm.storage import maybe_among, written
+from topicgrove.llm.storage import let, maybe_among, named_again, numbered, place_of, written
 
-#: A shingle is the SHINGLE characters from the start of a run without separators on, or from its SHINGLE-th character on.
-#: A run of more than twice SHINGLE, or a longer one that is the whole line, gives those of each place from which
-#: SHINGLE characters of it follow, so that an insertion shifts none of the others.
+#: A line's shingles are the SHINGLE characters from each of its places on; a shorter line is one shingle.
 SHINGLE, THRESHOLD = 12, 0.8
-_IN = r"[^ \t\u3000]"
-_LONG = rf"(?<!{_IN}){_IN}(?={_IN}{{{2 * SHINGLE}}})|\A{_IN}(?={_IN}{{{SHINGLE},}}\z)"
-_SHINGLE = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:{_LONG}|(?<={_IN}){_IN}(?={_IN}{{{SHINGLE}}})|{_IN}{{1,{SHINGLE}}}+)"
-#: One hash a mask: the shingles' 64-bit hashes, hashed again with the mask. Each gives a band of two MinHash values, the
-#: smallest and the largest. A pair with c of u shingles in common misses all bands with chance (1 - c (c - 1) / (u (u - 1)))^5:
-#: 1.0 % at 4 of 5, 0.8 % at 8 of 10, and 0.6 % in the limit of long lines, at a similarity of 0.8.
-MASKS = [0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x1B56C4E95D2F3A71]
+#: One hash a band: the shingles' 64-bit hashes, hashed again with the band's number. Its smallest and largest value are
+#: two MinHash values. A pair with c of u shingles in common misses all bands with chance
+#: (1 - c (c - 1) / (u (u - 1)))^5: 1.0 % at 4 of 5, 0.8 % at 8 of 10, 0.6 % for long lines, at a similarity of 0.8.
+BANDS = 5
+#: Lines of a bucket, by expectation, with which all others are compared, and rows of a block of the full comparison.
+PIVOTS, BLOCK = 32, 1024
+#: Longs of a set's parity, 64 bits each.
+PARITY = 8
+#: Bytes of a character in UTF-32, so that a place is found without reading what is before it.
+_WIDE = 4
 
-#: Rows of a bucket that are compared in one block, and the share of pairs that a round of comparisons must link.
-BLOCK, ENOUGH = 1024, 1 / 16
 
+def _starts(points: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(points) - F.lit(_WIDE * SHINGLE)), F.lit(_WIDE))
 
-def line_shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
+
+def _hashed(points: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(points, at + 1, F.lit(_WIDE * SHINGLE)))
+
+
+def shingle_set(line: Column) -> Column:
+    """The 64-bit hashes of a line's shingles, each once."""
+    return let(F.encode(line, "UTF-32"), lambda p: F.array_distinct(F.transform(_starts(p), lambda at: _hashed(p, at))))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, doc_hash, line_no, line, k1, k2) of the lines that are not blank."""
+    """(doc_id, doc_hash, line_no, line, k1, k2, place) of the lines that are not blank."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     rows = rows.where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "")
-    return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
-
-
-def _turned(mask: int) -> Column:
-    return F.transform("h0", lambda h: F.xxhash64(h, F.lit(mask)))
+    return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line"), "place": F.xxhash64("doc_id", "doc_hash", "line_no")})
 
 
 def _bands(lines: DataFrame) -> DataFrame:
-    """Each distinct line once, with its number of places and its bands."""
-    hashed = lines.select("k1", "k2", F.transform(line_shingles(F.col("line")), lambda s: F.xxhash64(s)).alias("h0"))
-    turned = hashed.select("k1", "k2", "h0", *[_turned(m).alias(f"h{i}") for i, m in enumerate(MASKS) if m])
-    bands = [F.xxhash64(F.lit(i), F.array_min(f"h{i}"), F.array_max(f"h{i}")).alias(f"b{i}") for i in range(len(MASKS))]
-    signed = turned.select("k1", "k2", *bands)
-    return signed.groupBy("k1", "k2").agg(F.count("*").alias("places"), *[F.any_value(f"b{i}").alias(f"b{i}") for i in range(len(MASKS))])
-
+    """Each distinct line once: the number of its places, one of them, and its bands.
 
-def _sets(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """(k1, shingles): the 64-bit hashes of the shingle set of each wanted line, once."""
-    texts = maybe_among(lines.select("k1", "line"), wanted, "k1").join(wanted, "k1", "left_semi")
-    return written(texts.groupBy("k1").agg(F.any_value("line").alias("line")).select("k1", F.array_distinct(F.transform(line_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("shingles")), "sets")
+    Shingles are exploded and come together again in the map-side aggregation of the same stage, so that no list of
+    hashes is made and what is shuffled is a row a distinct line of each task.
+    """
+    each = lines.select("k1", "k2", "place", F.encode("line", "UTF-32").alias("points"))
+    each = each.select("k1", "k2", "place", "points", F.explode(_starts(F.col("points"))).alias("at"))
+    hashed = each.select("k1", "k2", "place", "at", _hashed(F.col("points"), F.col("at")).alias("h0"))
+    turned = hashed.withColumns({f"h{i}": F.xxhash64("h0", F.lit(i)) for i in range(1, BANDS)})
+    values = [f(f"h{i}").alias(f"{name}{i}") for i in range(BANDS) for name, f in (("least", F.min), ("most", F.max))]
+    signed = turned.groupBy("k1", "k2").agg(F.sum((F.col("at") == 0).cast("long")).alias("places"), F.min("place").alias("pick"), *values)
+    return signed.select("k1", "k2", "places", "pick", *[F.xxhash64(F.lit(i), f"least{i}", f"most{i}").alias(f"b{i}") for i in range(BANDS)])
 
 
-def _similar(a: str, b: str) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    return common >= F.lit(THRESHOLD) * (F.size(a) + F.size(b) - common)
+def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """(k1, line) of the wanted lines, each read at its picked place alone."""
+    rows = maybe_among(lines.select(F.col("place").alias("pick"), "k1", "line"), wanted, "pick")
+    once = rows.groupBy("pick", "k1").agg(F.any_value("line").alias("line"))  # rows that repeat a document
+    return written(once.join(wanted.select("pick", "k1"), ["pick", "k1"], "left_semi").dropDuplicates(["k1"]).select("k1", "line"), "texts")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have an exact Jaccard similarity of THRESHOLD at least."""
-    one = sets.select(F.col("k1").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("k1").alias("b"), F.col("shingles").alias("of_b"))
-    return written(pairs.join(one, "a").join(two, "b").where(_similar("of_a", "of_b")).select("a", "b"), "alike")
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines whose shingle sets have an exact Jaccard similarity of THRESHOLD at least."""
+    one = texts.select(F.col("k1").alias("a"), F.col("line").alias("of_a"))
+    two = texts.select(F.col("k1").alias("b"), F.col("line").alias("of_b"))
+    sets = F.struct(shingle_set(F.col("of_a")).alias("a"), shingle_set(F.col("of_b")).alias("b"))
+    common = lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("both"), (F.size(s["a"]) + F.size(s["b"])).alias("all"))
+    similar = let(let(sets, common), lambda n: n["both"] >= F.lit(THRESHOLD) * (n["all"] - n["both"]))
+    return written(pairs.join(one, "a").join(two, "b").where(similar).select("a", "b"), "alike")
 
 
 def _named(rows: DataFrame, label: DataFrame, key: str, name: str) -> DataFrame:
@@ -77,6 +85,8 @@ def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) once the components of ``label`` are joined by further links between lines."""
     if label is None:
         return written(components(links), "lines")
+    if links.isEmpty():
+        return label
     between = _named(_named(links, label, "a", "x"), label, "b", "y").select("x", "y")
     over = components(between, "x", "y")
     step = over.select(F.col("node").alias("old"), F.col("root").alias("new"))
@@ -84,75 +94,102 @@ def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(over), "lines")
 
 
-def _parity(hashes: Column) -> list[Column]:
-    """128 bits of a set, each the parity of the elements that hash to it: sets that differ in d elements differ in d bits at most."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    return [
-        F.aggregate(F.filter(hashes, lambda h, w=w: h.bitwiseAND(F.lit(64)) == w), F.lit(0).cast("long"), lambda m, h: m.bitwiseXOR(bit(h))).alias(f"p{w}")
-        for w in (0, 64)
-    ]
+def _mixed(shared: DataFrame, label: DataFrame, least: int) -> DataFrame:
+    """(bucket, k1, n, comp) of the buckets that have more than ``least`` lines and several components."""
+    named = _named(shared.where(F.col("n") > least).drop("head"), label, "k1", "comp")
+    several = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    return named.join(several, "bucket")
+
+
+def _marks(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(k1, size, p0, p1, ...): the size of each line's shingle set and its parity.
+
+    A bit of the parity is that of the number of elements that hash to it, so sets that differ in d elements have
+    parities that differ in d bits at most.
+    """
+    each = texts.join(mixed.select("k1").distinct(), "k1", "left_semi").select("k1", F.explode(shingle_set(F.col("line"))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITY - 1))
+    return each.groupBy("k1").agg(F.count("*").cast("int").alias("size"), *[F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{w}") for w in range(PARITY)])
+
+
+_LIGHT = ["k1", "comp", "size", *[f"p{w}" for w in range(PARITY)]]
 
 
-def _across(shared: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a bucket's lines that are alike and in different components, compared in blocks.
+def _may_link() -> Column:
+    """Whether a line of one side and one of the other may be alike and are in different components.
 
-    A pair of Jaccard similarity t has a symmetric difference of (1 - t) / (1 + t) of both sizes at most, so pairs
-    whose parities differ in more bits are passed over: none that is alike is. The sets stand in the rows and are
-    compared inside the join, so that only links leave it.
+    Two sets of Jaccard similarity t differ in (1 - t) / (1 + t) of both sizes at most: at 0.8, in a ninth.
     """
-    named = _named(shared, label, "k1", "comp")
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
-    members = written(named.join(mixed, "bucket").select("bucket", "k1", "comp", F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks")), "mixed")
-    marks = sets.join(members.select("k1").distinct(), "k1", "left_semi").select("k1", "shingles", F.size("shingles").alias("size"), *_parity(F.col("shingles")))
-    rows = members.join(written(marks, "marks"), "k1").withColumn("mine", F.pmod(F.xxhash64("k1"), F.col("blocks")))
-    spread = lambda least, most: F.explode(F.sequence(least, most))
+    bits = sum(F.bit_count(F.col(f"a_p{w}").bitwiseXOR(F.col(f"b_p{w}"))) for w in range(PARITY))
+    return (F.col("a_comp") != F.col("b_comp")) & (5 * F.least("a_size", "b_size") >= 4 * F.greatest("a_size", "b_size")) & (9 * bits <= F.col("a_size") + F.col("b_size"))
+
+
+def _side(rows: DataFrame, name: str, *keys: Column) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in _LIGHT])
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return written(met.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b")).distinct(), "pairs")
+
+
+def _with_pivots(members: DataFrame, salt: int) -> DataFrame:
+    """Pairs to verify of each line of a bucket with each of about PIVOTS of its lines: with all, where it has no more."""
+    pivots = members.where(F.pmod(F.xxhash64("k1", F.lit(salt)), "n") < PIVOTS)
+    return _pairs(_side(members, "a", F.col("bucket")).join(_side(pivots, "b", F.col("bucket")), "bucket").where(_may_link()))
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Pairs to verify of all lines of each bucket, compared in blocks of BLOCK by BLOCK lines."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK))).withColumn("mine", F.pmod(F.xxhash64("k1"), F.col("blocks")))
     end = F.col("blocks") - 1
-    left = rows.select("bucket", F.col("mine").alias("i"), spread(F.col("mine"), end).alias("j"), *[F.col(c).alias(f"a_{c}") for c in ("k1", "comp", "size", "p0", "p64", "shingles")])
-    right = rows.select("bucket", spread(F.lit(0).cast("long"), F.col("mine")).alias("i"), F.col("mine").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("k1", "comp", "size", "p0", "p64", "shingles")])
-    bits = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in ("p0", "p64"))
-    # nine times the bits, as (1 - 0.8) / (1 + 0.8) is 1 / 9
-    near = (9 * bits <= F.col("a_size") + F.col("b_size")) & (F.col("a_comp") != F.col("b_comp")) & ((F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1")))
-    # _similar comes last: the cheap tests spare most pairs the sets
-    met = left.join(right, ["bucket", "i", "j"]).where(near & _similar("a_shingles", "b_shingles"))
-    return met.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b")).distinct()
+    left = _side(dealt, "a", F.col("bucket"), F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), end)).alias("j"))
+    right = _side(dealt, "b", F.col("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mine"))).alias("i"), F.col("mine").alias("j"))
+    once = (F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1"))
+    return _pairs(left.join(right, ["bucket", "i", "j"]).where(once & _may_link()))
 
 
 def _near_lines(bands: DataFrame, lines: DataFrame) -> DataFrame:
     """(node, root): components of the distinct lines, named by k1, that are alike and share a bucket.
 
-    1. In each bucket every member is compared with the smallest one, a row a member. Those left in another component
-       than it do so again among themselves, as long as a round links ENOUGH of its pairs: thousands of near copies
-       become one component without a pair each.
-    2. Buckets that still hold several components are compared in full, and verified pairs link the rest.
+    1. In each bucket every line is compared with the smallest one, a row a line: near copies by the thousand become
+       one component without a pair each.
+    2. In buckets that still hold several components every line is compared with about PIVOTS others of other
+       components. Buckets of no more lines than that are then compared in full.
+    3. The larger ones of them that still hold several components are compared in full, in blocks.
+
+    In 2 and 3 the join reads sizes and parities alone, which spare all but the pairs that may be alike, and each of
+    these is then verified on the texts. No pair of a bucket is left out: the work on a bucket of n lines of many
+    components grows with the square of n, spread over its blocks.
     """
-    rows = bands.select("k1", F.explode(F.array(*[f"b{i}" for i in range(len(MASKS))])).alias("bucket")).distinct()
-    several = rows.groupBy("bucket").count().where("count > 1").select("bucket")
+    rows = bands.select("k1", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket"))
+    several = rows.groupBy("bucket").agg(F.min("k1").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = written(rows.join(several, "bucket"), "shared")
-    sets, label, rest = None, None, shared
-    while True:
-        heads = rest.groupBy("bucket").agg(F.min("k1").alias("head"))
-        met = written(rest.join(heads, "bucket").where("k1 <> head"), "met")
-        pairs = written(met.select(F.col("k1").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-        if sets is None:
-            sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct(), lines)
-        links = _alike(pairs, sets)
-        label = _merged(label, links)
-        rest = written(_named(_named(met, label, "k1", "x"), label, "head", "y").where("x <> y").select("bucket", "k1"), "rest")
-        if rest.isEmpty() or links.count() < ENOUGH * pairs.count():
-            break
-    links = written(_across(shared, label, sets), "links")
-    return label if links.isEmpty() else _merged(label, links)
+    wanted = written(bands.select("k1", "pick").join(shared.select("k1").distinct(), "k1", "left_semi"), "wanted")
+    texts = _texts(wanted, lines)
+    pairs = shared.where("k1 <> head").select(F.col("k1").alias("a"), F.col("head").alias("b")).distinct()
+    label = _merged(None, _alike(pairs, texts))
+    mixed = written(_mixed(shared, label, 2), "mixed")
+    if mixed.isEmpty():
+        return label
+    marks = written(_marks(mixed, texts), "marks")
+    label = _merged(label, _alike(_with_pivots(mixed.join(marks, "k1"), 1), texts))
+    mixed = written(_mixed(shared, label, PIVOTS), "mixed")
+    if mixed.isEmpty():
+        return label
+    return _merged(label, _alike(_in_blocks(mixed.join(marks, "k1")), texts))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc_hash, line_no, root): places of lines that repeat an earlier line, to be dropped.
 
     Lines are parted by line feeds; blank ones are never dropped. Equal lines are one vertex. Distinct lines meet
-    by bands of MinHash over their character shingles, are linked at an exact Jaccard similarity of 0.8 to any line of
-    a common bucket, and a
+    by bands of MinHash over their character shingles, those of a common bucket are linked at an exact Jaccard
+    similarity of 0.8 of the sets, and a
     distributed union-find gives the components; in each the first place in (doc_id, doc_hash, line_no) stays.
     ``doc_hash`` is xxhash64 of the whole text: rows with equal id and text are one place each line, rows with equal id
-    and other texts are documents of their own. Null ids come first; null and empty texts have no lines.
+    and other texts are documents of their own. Null ids come first; null and empty texts have no lines; an empty
+    table has no places. A line of any length is read whole, in time and memory that grow with it.
     """
     lines = _lines(docs, id_col, text_col)
     bands = written(_bands(lines), "bands")
@@ -171,7 +208,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, doc_hash, n_lines, n_dropped, dropped): a row a row of ``docs``; numbers of dropped lines, ascending."""
+    """(doc_id, doc_hash, n_lines, n_dropped, dropped): a row a row of ``docs``; numbers of dropped lines, ascending.
+
+    Rows that repeat id and text get equal reports: they are one document. An empty table gives an empty report.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     dropped = repeated_lines(docs, id_col, text_col).groupBy("doc_id", "doc_hash").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))
     filled = F.regexp_count(text, F.lit(r"(?md)^[ \t\r\x0B\x0C]*+[^ \t\r\x0B\x0C\n]"))
@@ -183,18 +223,18 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines taken out of their texts, all columns kept.
+    """``docs`` with the repeated lines taken out of their texts, all columns kept, whatever they are called.
 
-    A document that keeps no line but blank ones is left out; one that had none stays as it is.
+    A document that keeps no line but blank ones is left out; one that had none stays as it is. Rows that repeat id
+    and text are treated alike; an empty table stays empty.
     """
-    dropped = repeated_lines(docs, id_col, text_col).groupBy("doc_id", "doc_hash").agg(F.collect_list("line_no").alias("_dropped"))
-    d = dropped.select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), "_dropped")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    joined = docs.join(d, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    rows, at = numbered(docs), place_of(docs, text_col)
+    id_at, text_at = f"c{place_of(docs, id_col)}", f"c{at}"
+    d = repeated_lines(rows, id_at, text_at).groupBy(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash")).agg(F.collect_list("line_no").alias("_dropped"))
+    text = F.coalesce(F.col(text_at).cast("string"), F.lit(""))
+    joined = rows.join(d, F.col(id_at).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
     parts = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_dropped"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    made = joined.withColumn("_kept", F.when(F.col("_dropped").isNotNull(), kept))
+    left = let(parts, lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_dropped")), lambda i: F.get(p, i)), "\n"))
+    made = joined.withColumn("_kept", F.when(F.col("_dropped").isNotNull(), left))
     made = made.where(F.col("_dropped").isNull() | F.col("_kept").rlike(r"[^ \t\r\x0B\x0C\n]"))
-    columns = [F.coalesce("_kept", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return made.select(*columns)
+    return named_again(made.withColumn(text_at, F.coalesce("_kept", F.col(text_at))), docs.columns)

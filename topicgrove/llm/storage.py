@@ -1,13 +1,16 @@
-"""Shared storage: where lineage is cut and where files are kept that other executors must see."""
+"""Shared storage and the helpers that several operators use: cut lineage, filters by hash cells, safe column names."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_kept: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset on a local master."""
@@ -21,7 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _kept.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the stage files that this process has written; results that read them must have been saved before."""
+    while _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,8 +48,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Cells of ``maybe_among``; the table that is broadcast has a row a cell at most (8 MB), whatever the input.
-FILTER_CELLS = 1 << 20
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1 and so on, so that no working name of an operator can meet one of them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """Which column ``name`` is: exactly so called, or else but for case."""
+    names = df.columns
+    return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
+
+
+def named_again(made: DataFrame, names: list[str], *new: str) -> DataFrame:
+    """The columns c0, c1, ... of ``made`` under ``names`` again, and after them ``new``, before which equal names give way."""
+    taken = {n.lower() for n in new}
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in taken]
+    return made.select(*kept, *new)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Cells of ``maybe_among`` for each key, and at most: 64 of them stand in one row of 16 bytes, so that the table
+#: that is broadcast has 2^20 rows (16 MB) at most, whatever the input.
+CELLS_A_KEY, MOST_CELLS = 16, 1 << 26
 #: Rows up to which a counted table may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -47,24 +83,34 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def cell(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_CELLS)).cast("int")
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
 
 
 def maybe_among(df: DataFrame, found: DataFrame, *keys: str, among: bool = True) -> DataFrame:
     """Rows of ``df`` whose keys may be in ``found`` (or, with ``among=False``, surely are not), without a shuffle.
 
-    A fixed number of hash cells stands for ``found``, as in a Bloom filter: no key of it is missed, a few others
-    pass. An exact join must follow where that matters; at any size it then moves only what passed.
+    Hash cells, a bit each, stand for ``found``, a written table whose rows are counted: no key of it is missed, one
+    other key in CELLS_A_KEY passes. An exact join must follow where that matters. Where half of MOST_CELLS would not
+    do for the keys, nothing is filtered: every row may be among them.
     """
-    cells = F.broadcast(found.select(cell(*keys).alias("_cell")).distinct())
-    return df.join(cells, cell(*keys) == F.col("_cell"), "left_semi" if among else "left_anti")
+    n = found.count()
+    if n > MOST_CELLS // 2:
+        return df if among else df.where(F.lit(False))
+    cells = min(MOST_CELLS, 1 << max(10, (CELLS_A_KEY * n - 1).bit_length()))
+    cell = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(cells))
+    marked = found.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("_word")).agg(F.bit_or(_bit(F.col("cell").bitwiseAND(F.lit(63)))).alias("_bits"))
+    joined = df.withColumn("_cell", cell).join(F.broadcast(marked), F.shiftright("_cell", 6) == F.col("_word"), "inner" if among else "left")
+    held = F.col("_bits").bitwiseAND(_bit(F.col("_cell").bitwiseAND(F.lit(63)))) != 0
+    return joined.where(held if among else ~F.coalesce(held, F.lit(False))).drop("_cell", "_word", "_bits")
 
 
 def without(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """``df`` without the rows whose key is in ``found`` (null equals null); only rows that may be among them move."""
-    found = found.select(F.col(key).alias("_found")).distinct()
-    named = found.select(F.col("_found").alias(key))
-    sure = maybe_among(df, named, key, among=False)
-    rest = maybe_among(df, named, key).join(found, F.col(key).eqNullSafe(F.col("_found")), "left_anti")
+    """``df`` without the rows whose key is in ``found`` (null equals null); only rows that may be among them move.
+
+    ``found`` has the one column ``key`` and is a written table; columns of ``df`` must not begin with ``_``.
+    """
+    sure = maybe_among(df, found, key, among=False)
+    known = found.select(F.col(key).alias("_found")).distinct()
+    rest = maybe_among(df, found, key).join(known, F.col(key).eqNullSafe(F.col("_found")), "left_anti")
     return sure.unionByName(rest)
