@@ -248,15 +248,6 @@ def test_lines_fuzzy_edges_and_rebuilding(spark, edge, empty):
     assert line_dedup.line_report(empty).count() == 0
 
 
-def test_shingles_are_those_of_each_place(spark):
-    texts = ["", "a", "twelve chars", "thirteen char", "Stra\u00dfe \U0001f600 \u6f22\u5b57" * 9, "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
-    df = spark.createDataFrame([(t,) for t in texts], "line string").withColumn("s", line_dedup.shingle_set(F.col("line")))
-    for r in df.collect():
-        each = [r["line"][i : i + 12].encode("utf-32-be") for i in range(max(1, len(r["line"]) - 11))]
-        want = {xxhash.xxh64_intdigest(x, 42) for x in each}
-        assert {h % 2**64 for h in r["s"]} == want and len(r["s"]) == len(want)
-
-
 def test_lines_of_a_template_link_to_any_line_of_their_bucket(spark):
     """Lines that share a bucket's head are linked among themselves, in one block and in many."""
     rng = random.Random(5)

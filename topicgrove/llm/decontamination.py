@@ -7,7 +7,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicgrove.llm.storage import bounded, maybe_among, without, written
+from topicgrove.llm.storage import bounded, maybe_among, named_again, numbered, place_of, without, written
 
 WORDS, THRESHOLD = 5, 0.8
 #: chance that an item contained to the threshold has fewer sketch hits than are asked for
@@ -122,6 +122,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that ``contaminated`` reports, all columns kept."""
-    found = written(contaminated(docs, items, id_col, text_col, item_col, item_text_col), "contaminated")
-    return without(docs, found.select(F.col("doc_id").alias(id_col)), id_col)
+    """``docs`` without the documents that ``contaminated`` reports, all columns kept, whatever they are called.
+
+    Rows that share an id go or stay together. An empty table stays empty; without items nothing goes.
+    """
+    rows, at = numbered(docs), f"c{place_of(docs, id_col)}"
+    found = contaminated(rows, items, at, f"c{place_of(docs, text_col)}", item_col, item_text_col)
+    return named_again(without(rows, written(found.select(F.col("doc_id").alias(at)).distinct(), "contaminated"), at), docs.columns)

@@ -8,31 +8,35 @@ from pyspark.sql import functions as F
 from topicgrove.llm.components import components
 from topicgrove.llm.storage import let, maybe_among, named_again, numbered, place_of, written
 
-#: A line's shingles are the SHINGLE characters from each of its places on; a shorter line is one shingle.
+#: A line's shingles are the SHINGLE characters (code points) from each of its places on; a shorter line is one shingle.
 SHINGLE, THRESHOLD = 12, 0.8
-#: One hash a band: the shingles' 64-bit hashes, hashed again with the band's number. Its smallest and largest value are
-#: two MinHash values. A pair with c of u shingles in common misses all bands with chance
+#: One order of the shingles' 64-bit hashes a band: the hashes turned by TURN bits more, so that other bits lead. Its
+#: smallest and largest value are two MinHash values. A pair with c of u shingles in common misses all bands with chance
 #: (1 - c (c - 1) / (u (u - 1)))^5: 1.0 % at 4 of 5, 0.8 % at 8 of 10, 0.6 % for long lines, at a similarity of 0.8.
-BANDS = 5
-#: Lines of a bucket, by expectation, with which all others are compared, and rows of a block of the full comparison.
-PIVOTS, BLOCK = 32, 1024
+BANDS, TURN = 5, 13
+#: Lines of a bucket, by expectation, with which all others are compared, round by round, and rows of a block of the
+#: full comparison.
+PIVOTS, BLOCK = (4, 32), 1024
 #: Longs of a set's parity, 64 bits each.
 PARITY = 8
 #: Bytes of a character in UTF-32, so that a place is found without reading what is before it.
 _WIDE = 4
+#: Shingles of a row of the exploded lines: their values are compared before the row is looked up in the aggregation.
+STRIDE = 4
 
 
-def _starts(points: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(points) - F.lit(_WIDE * SHINGLE)), F.lit(_WIDE))
+def _last(points: str) -> Column:
+    return F.greatest(F.lit(0), F.octet_length(points) - F.lit(_WIDE * SHINGLE))
 
 
 def _hashed(points: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(points, at + 1, F.lit(_WIDE * SHINGLE)))
 
 
-def shingle_set(line: Column) -> Column:
-    """The 64-bit hashes of a line's shingles, each once."""
-    return let(F.encode(line, "UTF-32"), lambda p: F.array_distinct(F.transform(_starts(p), lambda at: _hashed(p, at))))
+def shingle_hashes(line: Column) -> Column:
+    """The 64-bit hashes of a line's shingles, place by place."""
+    each = lambda p: F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(p) - _WIDE * SHINGLE), F.lit(_WIDE))
+    return let(F.encode(line, "UTF-32"), lambda p: F.transform(each(p), lambda at: _hashed(p, at)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,12 +53,16 @@ def _bands(lines: DataFrame) -> DataFrame:
     Shingles are exploded and come together again in the map-side aggregation of the same stage, so that no list of
     hashes is made and what is shuffled is a row a distinct line of each task.
     """
-    each = lines.select("k1", "k2", "place", F.encode("line", "UTF-32").alias("points"))
-    each = each.select("k1", "k2", "place", "points", F.explode(_starts(F.col("points"))).alias("at"))
-    hashed = each.select("k1", "k2", "place", "at", _hashed(F.col("points"), F.col("at")).alias("h0"))
-    turned = hashed.withColumns({f"h{i}": F.xxhash64("h0", F.lit(i)) for i in range(1, BANDS)})
-    values = [f(f"h{i}").alias(f"{name}{i}") for i in range(BANDS) for name, f in (("least", F.min), ("most", F.max))]
-    signed = turned.groupBy("k1", "k2").agg(F.sum((F.col("at") == 0).cast("long")).alias("places"), F.min("place").alias("pick"), *values)
+    coded = lines.select("k1", "k2", "place", F.encode("line", "UTF-32").alias("points")).withColumn("last", _last("points"))
+    each = coded.select("k1", "k2", "place", "points", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(_WIDE * STRIDE))).alias("at"))
+    some = [_hashed(F.col("points"), F.least(F.col("at") + _WIDE * j, F.col("last")) if j else F.col("at")).alias(f"s{j}") for j in range(STRIDE)]
+    hashed = each.select("k1", "k2", "place", "at", *some)
+    turn = lambda h, i: F.shiftleft(h, TURN * i).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN * i)) if i else F.col(h)
+    turned = hashed.select("k1", "k2", "place", "at", *[turn(f"s{j}", i).alias(f"t{i}_{j}") for i in range(BANDS) for j in range(STRIDE)])
+    ends = [(name, i, f(*[F.col(f"t{i}_{j}") for j in range(STRIDE)])) for i in range(BANDS) for name, f in (("least", F.least), ("most", F.greatest))]
+    met = turned.select("k1", "k2", "place", "at", *[c.alias(f"{name}{i}") for name, i, c in ends])
+    values = [f(f"{name}{i}").alias(f"{name}{i}") for i in range(BANDS) for name, f in (("least", F.min), ("most", F.max))]
+    signed = met.groupBy("k1", "k2").agg(F.sum((F.col("at") == 0).cast("long")).alias("places"), F.min("place").alias("pick"), *values)
     return signed.select("k1", "k2", "places", "pick", *[F.xxhash64(F.lit(i), f"least{i}", f"most{i}").alias(f"b{i}") for i in range(BANDS)])
 
 
@@ -69,10 +77,10 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have an exact Jaccard similarity of THRESHOLD at least."""
     one = texts.select(F.col("k1").alias("a"), F.col("line").alias("of_a"))
     two = texts.select(F.col("k1").alias("b"), F.col("line").alias("of_b"))
-    sets = F.struct(shingle_set(F.col("of_a")).alias("a"), shingle_set(F.col("of_b")).alias("b"))
-    common = lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("both"), (F.size(s["a"]) + F.size(s["b"])).alias("all"))
-    similar = let(let(sets, common), lambda n: n["both"] >= F.lit(THRESHOLD) * (n["all"] - n["both"]))
-    return written(pairs.join(one, "a").join(two, "b").where(similar).select("a", "b"), "alike")
+    sets = pairs.join(one, "a").join(two, "b").select("a", "b", shingle_hashes(F.col("of_a")).alias("in_a"), shingle_hashes(F.col("of_b")).alias("in_b"))
+    measured = sets.select("a", "b", F.size(F.array_intersect("in_a", "in_b")).alias("both"), F.size(F.array_union("in_a", "in_b")).alias("all"))
+    # filtered once it is written: the filter would move below and make the sets again
+    return written(measured, "alike").where(F.col("both") >= F.lit(THRESHOLD) * F.col("all")).select("a", "b")
 
 
 def _named(rows: DataFrame, label: DataFrame, key: str, name: str) -> DataFrame:
@@ -96,57 +104,92 @@ def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def _mixed(shared: DataFrame, label: DataFrame, least: int) -> DataFrame:
     """(bucket, k1, n, comp) of the buckets that have more than ``least`` lines and several components."""
-    named = _named(shared.where(F.col("n") > least).drop("head"), label, "k1", "comp")
+    named = _named(shared.where(F.col("n") > least), label, "k1", "comp")
     several = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    return named.join(several, "bucket")
+    return written(named.join(several, "bucket"), "mixed")
 
 
-def _marks(mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(k1, size, p0, p1, ...): the size of each line's shingle set and its parity.
+def _marks(texts: DataFrame) -> DataFrame:
+    """(k1, size, p0, p1, ...): the size of each line's shingle set, and its parity.
 
     A bit of the parity is that of the number of elements that hash to it, so sets that differ in d elements have
     parities that differ in d bits at most.
     """
-    each = texts.join(mixed.select("k1").distinct(), "k1", "left_semi").select("k1", F.explode(shingle_set(F.col("line"))).alias("h"))
+    each = texts.select("k1", F.explode(F.array_distinct(shingle_hashes(F.col("line")))).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITY - 1))
-    return each.groupBy("k1").agg(F.count("*").cast("int").alias("size"), *[F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{w}") for w in range(PARITY)])
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITY - 1)).cast("int")
+    words = each.select("k1", word.alias("word"), bit.alias("bit")).groupBy("k1", "word").agg(F.count("*").alias("n"), F.bit_xor("bit").alias("bits"))
+    parity = [F.bit_xor(F.when(F.col("word") == w, F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"p{w}") for w in range(PARITY)]
+    return written(words.groupBy("k1").agg(F.sum("n").cast("int").alias("size"), *parity), "marks")
 
 
-_LIGHT = ["k1", "comp", "size", *[f"p{w}" for w in range(PARITY)]]
+def _members(mixed: DataFrame, marks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``mixed`` with the lines' marks, their buckets, the number of the bucket's band, and whether they are pivots."""
+    band = F.lit(BANDS - 1)
+    for i in reversed(range(BANDS - 1)):
+        band = F.when(F.col("bucket") == F.col(f"b{i}"), i).otherwise(band)
+    return mixed.join(marks, "k1").join(wanted.drop("pick"), "k1").withColumn("band", band)
 
 
-def _may_link() -> Column:
-    """Whether a line of one side and one of the other may be alike and are in different components.
+def _is_pivot(pivots: int) -> Column:
+    return F.pmod(F.xxhash64("k1"), "n") < pivots
 
-    Two sets of Jaccard similarity t differ in (1 - t) / (1 + t) of both sizes at most: at 0.8, in a ninth.
-    """
+
+_LIGHT = ["k1", "size", *[f"p{w}" for w in range(PARITY)]]
+
+
+def _side(rows: DataFrame, name: str, *keys: Column, more: tuple[str, ...] = ("comp", *[f"b{i}" for i in range(BANDS - 1)])) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in (*_LIGHT, *more)])
+
+
+def _may_be_alike() -> Column:
+    """Two sets of Jaccard similarity t differ in (1 - t) / (1 + t) of both sizes at most: at 0.8, in a ninth."""
     bits = sum(F.bit_count(F.col(f"a_p{w}").bitwiseXOR(F.col(f"b_p{w}"))) for w in range(PARITY))
-    return (F.col("a_comp") != F.col("b_comp")) & (5 * F.least("a_size", "b_size") >= 4 * F.greatest("a_size", "b_size")) & (9 * bits <= F.col("a_size") + F.col("b_size"))
+    return (5 * F.least("a_size", "b_size") >= 4 * F.greatest("a_size", "b_size")) & (9 * bits <= F.col("a_size") + F.col("b_size"))
 
 
-def _side(rows: DataFrame, name: str, *keys: Column) -> DataFrame:
-    return rows.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in _LIGHT])
+def _met_first() -> Column:
+    """Whether the lines meet in no bucket of an earlier band."""
+    first = F.lit(True)
+    for i in range(BANDS - 1):
+        first = first & ((F.col("band") <= i) | (F.col(f"a_b{i}") != F.col(f"b_b{i}")))
+    return first
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    return written(met.select(F.least("a_k1", "b_k1").alias("a"), F.greatest("a_k1", "b_k1").alias("b")).distinct(), "pairs")
+    return written(met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")), "pairs")
 
 
-def _with_pivots(members: DataFrame, salt: int) -> DataFrame:
-    """Pairs to verify of each line of a bucket with each of about PIVOTS of its lines: with all, where it has no more."""
-    pivots = members.where(F.pmod(F.xxhash64("k1", F.lit(salt)), "n") < PIVOTS)
-    return _pairs(_side(members, "a", F.col("bucket")).join(_side(pivots, "b", F.col("bucket")), "bucket").where(_may_link()))
+def _with_heads(shared: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs of each line with the smallest one of each of its buckets."""
+    pairs = shared.where("k1 <> head").select(F.col("k1").alias("a_k1"), F.col("head").alias("b_k1")).distinct()
+    return _pairs(pairs.join(_side(marks, "a", more=()), "a_k1").join(_side(marks, "b", more=()), "b_k1").where(_may_be_alike()))
+
+
+def _blocks() -> Column:
+    return F.ceil(F.col("n") / F.lit(BLOCK))
+
+
+def _with_pivots(members: DataFrame, pivots: int) -> DataFrame:
+    """Pairs of each line of a bucket with each of about ``pivots`` of its lines: with all, where it has no more."""
+    block = F.pmod(F.xxhash64("k1", F.lit(1)), _blocks()).alias("i")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), _blocks() - 1)).alias("i")
+    marked = members.withColumn("pivot", _is_pivot(pivots))
+    left = _side(marked, "a", F.col("bucket"), block, more=("comp", "pivot"))
+    right = _side(marked.where("pivot"), "b", F.col("bucket"), every, more=("comp",))
+    once = ~F.col("a_pivot") | (F.col("a_k1") < F.col("b_k1"))
+    met = left.join(right, ["bucket", "i"]).where(once & (F.col("a_comp") != F.col("b_comp")) & _may_be_alike())
+    return _pairs(met.select("a_k1", "b_k1").distinct())
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """Pairs to verify of all lines of each bucket, compared in blocks of BLOCK by BLOCK lines."""
-    dealt = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK))).withColumn("mine", F.pmod(F.xxhash64("k1"), F.col("blocks")))
-    end = F.col("blocks") - 1
-    left = _side(dealt, "a", F.col("bucket"), F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), end)).alias("j"))
+    """Pairs of all lines of each bucket that were no pivots, compared in blocks of BLOCK by BLOCK lines."""
+    dealt = members.where(~_is_pivot(PIVOTS[-1])).withColumn("mine", F.pmod(F.xxhash64("k1", F.lit(1)), _blocks())).withColumn("end", _blocks() - 1)
+    left = _side(dealt, "a", F.col("bucket"), F.col("band"), F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), F.col("end"))).alias("j"))
     right = _side(dealt, "b", F.col("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mine"))).alias("i"), F.col("mine").alias("j"))
     once = (F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1"))
-    return _pairs(left.join(right, ["bucket", "i", "j"]).where(once & _may_link()))
+    met = left.join(right, ["bucket", "i", "j"]).where(once & (F.col("a_comp") != F.col("b_comp")) & _met_first() & _may_be_alike())
+    return _pairs(met)
 
 
 def _near_lines(bands: DataFrame, lines: DataFrame) -> DataFrame:
@@ -154,30 +197,32 @@ def _near_lines(bands: DataFrame, lines: DataFrame) -> DataFrame:
 
     1. In each bucket every line is compared with the smallest one, a row a line: near copies by the thousand become
        one component without a pair each.
-    2. In buckets that still hold several components every line is compared with about PIVOTS others of other
+    2. In buckets that still hold several components every line is compared with about 4, and then 32 others of other
        components. Buckets of no more lines than that are then compared in full.
     3. The larger ones of them that still hold several components are compared in full, in blocks.
 
-    In 2 and 3 the join reads sizes and parities alone, which spare all but the pairs that may be alike, and each of
+    Sizes and parities, which stand in the rows, spare all but the pairs that may be alike, and each of
     these is then verified on the texts. No pair of a bucket is left out: the work on a bucket of n lines of many
     components grows with the square of n, spread over its blocks.
     """
-    rows = bands.select("k1", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.min("k1").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = written(rows.join(several, "bucket"), "shared")
-    wanted = written(bands.select("k1", "pick").join(shared.select("k1").distinct(), "k1", "left_semi"), "wanted")
+    names = [f"b{i}" for i in range(BANDS)]
+    rows = bands.select("k1", F.explode(F.array(*names)).alias("bucket"))
+    several = written(rows.groupBy("bucket").agg(F.min("k1").alias("head"), F.count("*").alias("n")).where("n > 1"), "several")
+    shared = written(maybe_among(rows, several, "bucket").join(several, "bucket"), "shared")
+    wanted = written(bands.select("k1", "pick", *names).join(shared.select("k1").distinct(), "k1", "left_semi"), "wanted")
     texts = _texts(wanted, lines)
-    pairs = shared.where("k1 <> head").select(F.col("k1").alias("a"), F.col("head").alias("b")).distinct()
-    label = _merged(None, _alike(pairs, texts))
-    mixed = written(_mixed(shared, label, 2), "mixed")
-    if mixed.isEmpty():
-        return label
-    marks = written(_marks(mixed, texts), "marks")
-    label = _merged(label, _alike(_with_pivots(mixed.join(marks, "k1"), 1), texts))
-    mixed = written(_mixed(shared, label, PIVOTS), "mixed")
+    marks = _marks(texts)
+    label = _merged(None, _alike(_with_heads(shared, marks), texts))
+    mixed, least = shared.drop("head"), 2
+    for pivots in PIVOTS:
+        mixed = _mixed(mixed.drop("comp"), label, least)
+        if mixed.isEmpty():
+            return label
+        label, least = _merged(label, _alike(_with_pivots(_members(mixed, marks, wanted), pivots), texts)), pivots
+    mixed = _mixed(mixed.drop("comp"), label, least)
     if mixed.isEmpty():
         return label
-    return _merged(label, _alike(_in_blocks(mixed.join(marks, "k1")), texts))
+    return _merged(label, _alike(_in_blocks(_members(mixed, marks, wanted)), texts))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicgrove.llm.components import components
-from topicgrove.llm.storage import maybe_among, without, written
+from topicgrove.llm.storage import maybe_among, named_again, numbered, place_of, without, written
 
 WINDOW, SEED, MOST_BITS = 4, 42, 4
 #: 64 bits are 8 positional bytes; 4 differing bits spoil 4 of them at most, so a linked pair shares 4 at least.
@@ -55,15 +55,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of each whole text."""
+    """(doc_id, hash, fp): xxhash64 of each whole text, a null one being empty, and its fingerprint as a signed long."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], names=["doc_id", "hash", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(measure, f"doc_id {kind}, fp long")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    return rows.mapInArrow(measure, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, hash long, fp long")
 
 
 def _byte(i: int) -> F.Column:
@@ -86,6 +87,11 @@ def _linked(a: str, b: str) -> F.Column:
     return (shared >= LEAST_SHARED) & (F.bit_count(differing) <= MOST_BITS)
 
 
+def shared_bytes(differing: np.ndarray) -> np.ndarray:
+    """The number of positional bytes that two fingerprints share, given their bits that differ."""
+    return (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def _cross_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links between components inside each block of rows, which come sorted by (key, i, j); one a pair of components."""
     held = None
@@ -99,8 +105,12 @@ def _cross_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = at[at + lag < len(block)]
             at = at[np.logical_and.reduce([g[at] == g[at + lag] for g in group])]
             left, right = at, at + lag
+            apart = comp[left] != comp[right]
+            left, right = left[apart], right[apart]
             differing = fp[left] ^ fp[right]
-            ok = (comp[left] != comp[right]) & (np.bitwise_count(differing) <= MOST_BITS)
+            counted = shared_bytes(differing) >= LEAST_SHARED  # the count filter, then verification of what it retains
+            left, right, differing = left[counted], right[counted], differing[counted]
+            ok = np.bitwise_count(differing) <= MOST_BITS
             if ok.any():
                 found.append(np.unique(np.stack([comp[left[ok]], comp[right[ok]]], axis=1), axis=0))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
@@ -157,6 +167,14 @@ def print_components(prints: DataFrame) -> DataFrame:
     return written(moved.unionByName(over), "near")
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, fp) of each row, and (fp, root) of each fingerprint."""
+    marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    prints = written(marked.select("fp").distinct(), "prints")
+    label = print_components(prints)
+    return marked, written(prints.join(label, prints.fp == label.node, "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): fingerprints link at 4 or fewer differing bits; the id is the smallest reachable.
 
@@ -164,28 +182,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     so copies add no postings. Repeated rows are all returned. A null id is never a component's smallest unless
     all its ids are null. An empty table gives an empty result; other columns are ignored.
     """
-    marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    label = print_components(prints)
-    rooted = written(prints.join(label, prints.fp == label.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    marked, named = _rooted(docs, id_col, text_col)
+    smallest = marked.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, all columns kept: the one of the smallest id.
+    """``docs`` with one document of each component, all columns kept, whatever they are called.
 
-    Only rows of components with several rows are looked at again: the others pass without a shuffle. Rows that
-    repeat the kept id are taken to be one document, of which the row with the smallest text hash stays.
+    A document is an id and the fingerprint of its text: the one of the smallest id stays, of those that share that
+    id the one of the smallest fingerprint and text hash, and of the rows that repeat id and text any one.
+    So rows of one id with texts unlike each other are documents of their own, null ids among them, and all stay; an
+    id that is null is taken last. Only rows that may have to go, or that may repeat one that stays, move.
+    An empty table stays empty.
     """
-    found = written(simhash_components(docs, id_col, text_col), "components")
-    extra = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col))
-    rest = without(docs, extra, id_col)
-    again = written(rest.groupBy(F.col(f"`{id_col}`").alias(id_col)).count().where("count > 1").select(id_col), "again")
+    rows, at, text_at = numbered(docs), f"c{place_of(docs, id_col)}", f"c{place_of(docs, text_col)}"
+    marked, named = _rooted(rows, at, text_at)
+    key = lambda id_, hash_: F.xxhash64(id_, hash_, F.col(id_).isNull())
+    found = marked.join(named, "fp").groupBy("root", "doc_id", "fp", "hash").agg(F.count("*").alias("n"))
+    each = written(found.withColumn("_key", key("doc_id", "hash")), "each")  # a row a document
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "hash", "_key")
+    stays = written(each.groupBy("root").agg(F.min(order).alias("k")).select("k._key"), "stays")
+    gone = written(each.select("_key").join(stays, "_key", "left_anti"), "gone")
+    again = written(each.where("n > 1").select("_key").join(stays, "_key", "left_semi"), "again")
+    hashed = rows.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_at).cast("string"), F.lit(""))))
+    left = without(hashed.withColumn("_key", key(at, "_hash")).drop("_hash"), gone, "_key")
     if again.isEmpty():
-        return rest
-    many = maybe_among(rest, again, id_col)
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(f"`{text_col}`"))
-    first = many.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return maybe_among(rest, again, id_col, among=False).unionByName(first)
+        return named_again(left, docs.columns)
+    once = maybe_among(left, again, "_key").dropDuplicates(["_key"])
+    return named_again(maybe_among(left, again, "_key", among=False).unionByName(once), docs.columns)

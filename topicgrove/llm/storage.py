@@ -59,11 +59,11 @@ def place_of(df: DataFrame, name: str) -> int:
     return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
 
 
-def named_again(made: DataFrame, names: list[str], *new: str) -> DataFrame:
+def named_again(made: DataFrame, names: list[str], **new: Column) -> DataFrame:
     """The columns c0, c1, ... of ``made`` under ``names`` again, and after them ``new``, before which equal names give way."""
     taken = {n.lower() for n in new}
     kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in taken]
-    return made.select(*kept, *new)
+    return made.select(*kept, *[c.alias(n) for n, c in new.items()])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,9 +71,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements of a piece of ``Gathered``.
+PIECE = 512
+
+
+class Gathered:
+    """A list that a fold grows in pieces, since appending copies what it appends to: only the open piece is copied."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def empty(self) -> list[Column]:
+        return [F.array().cast(f"array<{self.kind}>").alias("piece"), F.array().cast(f"array<array<{self.kind}>>").alias("pieces")]
+
+    def added(self, state: Column, one: Column, keep: Column) -> list[Column]:
+        """The fields of the next state, with ``one`` at the end if ``keep`` holds."""
+        full = F.size(state["piece"]) >= PIECE
+        open_ = F.when(full, F.array().cast(f"array<{self.kind}>")).otherwise(state["piece"])
+        pieces = F.when(full, F.concat(state["pieces"], F.array(state["piece"]))).otherwise(state["pieces"])
+        piece = let(open_, lambda p: F.when(keep, F.concat(p, F.array(one))).otherwise(p))
+        return [piece.alias("piece"), pieces.alias("pieces")]
+
+    @staticmethod
+    def all(state: Column) -> Column:
+        return let(state, lambda s: F.flatten(F.concat(s["pieces"], F.array(s["piece"]))))
+
+
 #: Cells of ``maybe_among`` for each key, and at most: 64 of them stand in one row of 16 bytes, so that the table
 #: that is broadcast has 2^20 rows (16 MB) at most, whatever the input.
-CELLS_A_KEY, MOST_CELLS = 16, 1 << 26
+CELLS_A_KEY, MOST_CELLS = 64, 1 << 26
 #: Rows up to which a counted table may be broadcast.
 BROADCAST_ROWS = 200_000
 
