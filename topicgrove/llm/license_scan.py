@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicgrove.llm.license_rules import BASE_PHRASES, rules
+from topicgrove.llm.storage import named_again, numbered, place_of, scanned
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPAN = "struct<start:int,length:int,priority:int,rule:int,label:string>"
@@ -18,7 +19,7 @@ SCORES = (0.25, 0.6, 0.9, 1.0)
 def _indexed(pattern: str) -> str:
     """A word pattern made to match ``i:word`` text; group 1 is the first word's index."""
     spaced = pattern.replace(" ?", "(?: [0-9]+:)?").replace(" ", " [0-9]+:").replace("(?: [0-9]+:[0-9]+:)?", "(?: [0-9]+:)?")
-    return rf"([0-9]+):(?:{spaced})(?= |$)"
+    return rf"([0-9]+):(?:{spaced})(?= |\z)"
 
 
 def _places(indexed: Column, pattern: Column) -> Column:
@@ -59,17 +60,23 @@ def _unsuppressed(found: Column) -> Column:
     """
     ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["length"]).alias("shorter"), (-d["priority"]).alias("lower"), d["rule"].alias("rule"), d["label"].alias("label"))))
     ends = [f"end{p}" for p in range(len(SCORES))]
+    last = lambda d: d["start"] - d["shorter"]
+
+    def moved(state: Column, d: Column) -> list[Column]:
+        return [F.when(d["lower"] == -p, F.greatest(state[e], last(d))).otherwise(state[e]).alias(e) for p, e in enumerate(ends)]
 
     def step(state: Column, d: Column) -> Column:
-        end, priority = d["start"] - d["shorter"], -d["lower"]
+        priority = -d["lower"]
         reached = F.greatest(*[F.when(F.lit(p) >= priority, state[ends[p]]).otherwise(0) for p in range(len(SCORES))])
         one = F.array(F.struct(d["start"].alias("start"), (-d["shorter"]).alias("length"), priority.alias("priority"), d["rule"].alias("rule"), d["label"].alias("label")))
-        kept = F.when(end > reached, F.concat(state["kept"], one)).otherwise(state["kept"])
-        moved = [F.when(priority == p, F.greatest(state[ends[p]], end)).otherwise(state[ends[p]]).alias(ends[p]) for p in range(len(SCORES))]
-        return F.struct(*moved, kept.alias("kept"))
+        kept = F.when(last(d) > reached, F.concat(state["kept"], one)).otherwise(state["kept"])
+        return F.struct(*moved(state, d), kept.alias("kept"))
 
-    first = F.struct(*[F.lit(0).alias(e) for e in ends], F.array().cast(f"array<{_SPAN}>").alias("kept"))
-    return F.aggregate(ordered, first, step)["kept"]
+    none = [F.lit(0).alias(e) for e in ends]
+    carry = lambda piece: F.aggregate(piece, F.struct(*none), lambda s, d: F.struct(*moved(s, d)))
+    joined = lambda s, c: F.struct(*[F.greatest(s[e], c[e]).alias(e) for e in ends], s["kept"].alias("kept"))
+    first = F.struct(*none, F.array().cast(f"array<{_SPAN}>").alias("kept"))
+    return scanned(ordered, first, carry, joined, step, lambda s: s["kept"])
 
 
 def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -80,14 +87,16 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     detection inside another of equal or higher priority is suppressed (equal intervals: the higher priority, then
     the earlier rule). Base phrases are found at all their places and never suppressed. ``score`` is the trust in the
     best detection, base phrases counting as 0.6. Null and empty texts have no words; rows are independent, so
-    repeated rows get equal results. A column named ``scan`` is replaced.
+    repeated rows get equal results. Time grows with the text; an empty table stays empty. A column named ``scan`` is
+    replaced, others may have any name.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    gated = docs.withColumn("_open", text.rlike(gate()))
+    rows = numbered(docs)
+    text = F.coalesce(F.col(f"c{place_of(docs, text_col)}").cast("string"), F.lit(""))
+    gated = rows.withColumn("_open", text.rlike(gate()))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = F.regexp_extract_all(F.translate(text, upper, lower), F.lit(_WORD), F.lit(0))
-    numbered = F.array_join(F.transform(words, lambda w, i: F.concat(i.cast("string"), F.lit(":"), w)), " ")
-    gated = gated.withColumn("_indexed", F.when(F.col("_open"), numbered).otherwise(F.lit("")))
+    indexed_words = F.array_join(F.transform(words, lambda w, i: F.concat(i.cast("string"), F.lit(":"), w)), " ")
+    gated = gated.withColumn("_indexed", F.when(F.col("_open"), indexed_words).otherwise(F.lit("")))
     indexed = F.col("_indexed")
 
     held = F.filter(_rule_table(), lambda k: F.contains(indexed, k["keyword"]))
@@ -107,7 +116,7 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     trust = F.transform(F.col("_found"), lambda d: F.element_at(F.array(*map(F.lit, SCORES)), d["priority"] + 1))
     best = F.greatest(F.coalesce(F.array_max(trust), F.lit(0.0)), F.when(F.size("_base") > 0, 0.6).otherwise(0.0))
     scan = F.struct(F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.col("_base").alias("base"), F.col("_found").alias("detections"), best.alias("score"))
-    return made.withColumn("scan", scan).drop("_open", "_indexed", "_base", "_found")
+    return named_again(made, docs.columns, scan=scan)
 
 
 def labels_joined(arrays: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicgrove.llm.storage import scanned
+
 # Runs are possessive and begin where a run begins, so that a long run of one class is read once; \G allows for a
 # run that the last match ended in.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -79,27 +81,38 @@ def _spans(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind in order: matches and the text between them give the places in code points."""
     pattern, score, gain, context = KINDS[kind]
     between, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    span = "struct<start:int,end:int,score:double>"
+    span = "array<struct<start:int,end:int,score:double>>"
 
     def last(piece: Column) -> Column:
         return F.substring(piece, F.greatest(F.lit(1), F.length(piece) - NEARBY + 1), F.lit(NEARBY))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["between"])
+    def state(at: Column, near: Column, spans: Column) -> Column:
+        return F.struct(at.alias("at"), near.alias("near"), spans.alias("spans"))
+
+    def carry(piece: Column) -> Column:
+        """The length of a piece's text, and its end."""
+        whole = F.aggregate(piece, F.lit(0), lambda n, p: n + F.length(p["between"]) + F.length(p["match"]))
+        tail = F.slice(piece, F.greatest(F.lit(1), F.size(piece) - NEARBY + 1), F.lit(NEARBY))  # a match has a character at least
+        near = F.array_join(F.transform(tail, lambda p: last(F.concat(last(p["between"]), last(p["match"])))), "")
+        return F.struct(whole.alias("length"), last(near).alias("near"))
+
+    def joined(before: Column, piece: Column) -> Column:
+        return state(before["at"] + piece["length"], last(F.concat(before["near"], piece["near"])), before["spans"])
+
+    def step(before: Column, pair: Column) -> Column:
+        start = before["at"] + F.length(pair["between"])
         end = start + F.length(pair["match"])
-        near = last(F.concat(state["near"], last(pair["between"])))
+        near = last(F.concat(before["near"], last(pair["between"])))
         worth = F.lit(score) + F.when(near.rlike(rf"(?i)\b(?:{context})"), gain).otherwise(0.0)
         keep = _confirmed(kind, pair["match"])
         if kind not in BASE:
             keep = keep & (worth >= LEAST_SCORE)
         one = F.array(F.struct(start.alias("start"), end.alias("end"), worth.alias("score")))
-        seen = last(F.concat(near, last(pair["match"])))
-        return F.struct(end.alias("at"), seen.alias("near"), F.when(keep, F.concat(state["spans"], one)).otherwise(state["spans"]).alias("spans"))
+        return state(end, last(F.concat(near, last(pair["match"]))), F.when(keep, F.concat(before["spans"], one)).otherwise(before["spans"]))
 
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(matches)), matches, lambda b, m: F.struct(b.alias("between"), m.alias("match")))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("near"), F.array().cast(f"array<{span}>").alias("spans"))
-    found = F.aggregate(pairs, first, step)["spans"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{span}>"))
+    found = scanned(pairs, state(F.lit(0), F.lit(""), F.array().cast(span)), carry, joined, step, lambda s: s["spans"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(span))
 
 
 def _named(spans: Column, kind: str) -> Column:
@@ -114,7 +127,8 @@ def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     15 digits) are base kinds and always stay; IBANs (mod 97), shorter cards (Luhn), social security numbers and
     secrets after a naming word are added if their score, raised by context words in the 40 code points before,
     reaches LEAST_SCORE. Null and empty texts hold nothing; rows are independent, so repeated rows get equal spans.
-    A column named ``pii`` is replaced. Time grows with the text; a list of n spans in one text is copied n times.
+    A column named ``pii`` is replaced, others may have any name; an empty table stays empty. Time grows with the text
+    and its spans.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.withColumn("pii", F.concat(*[_named(_spans(text, kind), kind) for kind in KINDS]))

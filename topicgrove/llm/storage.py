@@ -71,30 +71,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Elements of a piece of ``Gathered``.
+#: Elements of a list that one fold of ``scanned`` goes through.
 PIECE = 512
 
 
-class Gathered:
-    """A list that a fold grows in pieces, since appending copies what it appends to: only the open piece is copied."""
+def scanned(items: Column, first: Column, carry: Callable[[Column], Column], joined: Callable[[Column, Column], Column], step: Callable[[Column, Column], Column], kept: Callable[[Column], Column]) -> Column:
+    """What ``kept`` takes from a fold over a list, in pieces, since each step of a fold copies its whole state.
 
-    def __init__(self, kind: str):
-        self.kind = kind
-
-    def empty(self) -> list[Column]:
-        return [F.array().cast(f"array<{self.kind}>").alias("piece"), F.array().cast(f"array<array<{self.kind}>>").alias("pieces")]
-
-    def added(self, state: Column, one: Column, keep: Column) -> list[Column]:
-        """The fields of the next state, with ``one`` at the end if ``keep`` holds."""
-        full = F.size(state["piece"]) >= PIECE
-        open_ = F.when(full, F.array().cast(f"array<{self.kind}>")).otherwise(state["piece"])
-        pieces = F.when(full, F.concat(state["pieces"], F.array(state["piece"]))).otherwise(state["pieces"])
-        piece = let(open_, lambda p: F.when(keep, F.concat(p, F.array(one))).otherwise(p))
-        return [piece.alias("piece"), pieces.alias("pieces")]
-
-    @staticmethod
-    def all(state: Column) -> Column:
-        return let(state, lambda s: F.flatten(F.concat(s["pieces"], F.array(s["piece"]))))
+    ``step`` goes on from a state with an item. ``carry`` tells of a piece what ``joined`` adds to the state before
+    it, so that every piece starts where the one before it ends; what is kept of the pieces is put in a row.
+    """
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(all_) - 1) / F.lit(PIECE)).cast("int"))), lambda j: F.slice(all_, j * PIECE + 1, F.lit(PIECE)))
+    begin = lambda carried, j: F.aggregate(F.slice(carried, F.lit(1), j), first, joined)
+    each = lambda pieces, carried: F.flatten(F.transform(pieces, lambda piece, j: F.aggregate(piece, begin(carried, j), step, kept)))
+    return let(items, lambda all_: let(cut(all_), lambda pieces: let(F.transform(pieces, carry), lambda carried: each(pieces, carried))))
 
 
 #: Cells of ``maybe_among`` for each key, and at most: 64 of them stand in one row of 16 bytes, so that the table
