@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicgrove.llm.storage import written
+
 
 @lru_cache(maxsize=4)
 def _encoding(ranks_file: str, pattern: str):
@@ -22,7 +24,11 @@ def _encoding(ranks_file: str, pattern: str):
 
 
 def encoded_lengths(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens): exact encoded length of each whole text; a null or empty text has 0 tokens."""
+    """(doc_id, n_tokens): exact encoded length of each whole text; a null or empty text has 0 tokens.
+
+    Rows are independent: repeated rows get equal lengths, an empty table gives none, other columns are ignored. A
+    text of any length is encoded whole, by one task.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(ranks_file, pattern).encode_ordinary
@@ -30,8 +36,8 @@ def encoded_lengths(docs: DataFrame, ranks_file: str, pattern: str, id_col: str
             lengths = [len(encode(text)) if text else 0 for text in map(pa.StringScalar.as_py, batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["doc_id", "n_tokens"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(measure, f"doc_id {kind}, n_tokens long")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(measure, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
@@ -46,8 +52,9 @@ def context_table(histogram: DataFrame, span: int = 1024) -> DataFrame:
     holds the whole histogram. ``truncated_tokens`` = tokens in texts shorter than L + L x (texts of L or more);
     ``quantile`` is the share of documents of at most L tokens. For a limit that no text has, take the next longer
     L': truncated = ``truncated_tokens`` - (L' - L) x ``docs_at_least``. An empty histogram gives an empty table.
+    The histogram is written before its two uses, so that the texts are encoded once.
     """
-    cells = histogram.withColumn("cell", F.expr(f"n_tokens div {span}"))
+    cells = written(histogram, "histogram").withColumn("cell", F.expr(f"n_tokens div {span}"))
     tops = cells.groupBy("cell").agg(F.sum("n_docs").alias("cell_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("cell_tokens"))
     above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
