@@ -237,3 +237,25 @@ def test_quality_edges(edge, empty):
     assert quality_rules.quality_profile(empty).count() == 0
     n, *_, kept = quality_rules.profile("one two three four five six seven eight nine ten eleven 　 x\x85y")
     assert n == 13 and kept
+
+
+def test_other_tokenizer_files_get_whole_texts(tmp_path):
+    """A cased byte-level file: its own normalizer and splitter are left to the library."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    vocabulary = {c: i for i, c in enumerate(letters)} | {"He": 256, "He" + "l": 257}
+    made = Tokenizer(models.BPE(vocabulary, [("H", "e"), ("He", "l")]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(str(tmp_path / "cased.json"))
+    encoder = token_binary.WordEncoder(str(tmp_path / "cased.json"))
+    texts = ["Hello hello", "HELLO\nHe he", "", None]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [made.encode(t or "").ids for t in texts]
+
+
+def test_long_words_are_not_kept():
+    encoder = token_binary.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "x" * 5000 + " y " + "Z1" * 300 + "!" * 400
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == want
+    assert max(map(len, encoder.words)) <= token_binary.LONGEST_KEPT

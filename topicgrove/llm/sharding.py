@@ -19,9 +19,9 @@ def balanced_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     Null ids come first; equal ids and repeated rows are ordered by crc, size and text hash and all kept. An
     empty table gives an empty result. Other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("_hash"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -9,6 +10,7 @@ import struct
 import uuid
 import zlib
 from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicgrove.llm.storage import fresh_path, written
@@ -25,8 +27,17 @@ MAGIC = b"TGPACK01"
 #: bits, ids a block, documents, ids, blocks, where the tables begin
 TRAILER = struct.Struct("<IIQQQQ8s")
 BLOCK_IDS = 1 << 16
-#: of each half
-CACHED_WORDS = 200_000
+#: words of each half of the cache, and bytes of the longest that is kept: some 50 MB a half with their ids
+CACHED_WORDS, LONGEST_KEPT = 200_000, 64
+#: the normalizer and the splitter whose words can be taken apart
+LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT_WORDS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 ASCII_MARKS = string.punctuation.encode()
 _shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 #: how byte-level models spell a byte: itself where it can be shown, else the next letter from U+0100 on
@@ -50,6 +61,13 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(wide.reshape(-1), bitorder="little").view("<u4")
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its file system's scheme, as Spark itself would read it, so that executors use the same store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{whole.removeprefix('file:').removeprefix('//')}" if whole.startswith("file:") else whole
+
+
 class PackedWriter:
     """Documents one after another; ids leave block by block, the tables come last."""
 
@@ -126,7 +144,8 @@ class PackedReader:
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, each word of a text encoded once and kept.
 
-    The vocabulary's normalizer and splitter never join what ASCII white space parts, so a text's ids are those of
+    This holds for a file whose normalizer and splitter are LOWERED and SPLIT_WORDS; texts go to the library whole with
+    any other. These two never join what ASCII white space parts, so a text's ids are those of
     its words in a row. A text that holds an added token's string goes to the library whole. To the splitter a run of
     letters is one piece and the ASCII marks that end a word another one. Letters below U+0250 are composed already,
     so such a run is lower-cased, spelt by its bytes and given to the library's model; all else to the library whole.
@@ -139,6 +158,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        made = json.loads(self.tokenizer.to_str())
+        self.by_words = made["normalizer"] == LOWERED and made["pre_tokenizer"] == SPLIT_WORDS and made["post_processor"] is None
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -155,11 +176,13 @@ class WordEncoder:
         found = self.words.get(run) or self.older.get(run)
         if found is None:
             found = array("I", [t.id for t in self.model.tokenize(run.decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
-        self.words[run] = found
+        if len(run) <= LONGEST_KEPT:
+            self.words[run] = found
         return found
 
-    def learn(self, words: set[bytes]) -> None:
-        others, kept = [], self.words
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Keep the ids of words; those of words too long to be kept are returned."""
+        others, kept, long = [], self.words, {}
         for word in words:
             found = self.older.get(word)
             if found is None:
@@ -168,19 +191,28 @@ class WordEncoder:
                 found = self._letters(run) if run else None
                 if found is not None and len(stem) < len(word):
                     marks = word[len(stem) :]
-                    if marks not in kept:
-                        kept[marks] = self._library([marks.decode()])[0]
-                    found += kept[marks]
+                    ids = kept.get(marks)
+                    if ids is None:
+                        ids = self._library([marks.decode()])[0]
+                        if len(marks) <= LONGEST_KEPT:
+                            kept[marks] = ids
+                    found += ids
             if found is None:
                 others.append(word)
             else:
-                kept[word] = found
+                (kept if len(word) <= LONGEST_KEPT else long)[word] = found
         for i in range(0, len(others), 4096):
             some = others[i : i + 4096]
-            kept.update(zip(some, self._library([w.decode("utf-8", "surrogatepass") for w in some]), strict=True))
+            for word, ids in zip(some, self._library([w.decode("utf-8", "surrogatepass") for w in some]), strict=True):
+                (kept if len(word) <= LONGEST_KEPT else long)[word] = ids
+        return long
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian uint32 ids of each text."""
+        if not self.by_words:
+            for text in texts:
+                yield self._library([text or ""])[0]
+            return
         for text in texts:
             if len(self.words) > CACHED_WORDS:
                 self.words, self.older = {}, self.words
@@ -190,9 +222,8 @@ class WordEncoder:
                 continue
             words = text.encode("utf-8", "surrogatepass").split()
             unknown = set(words).difference(self.words)
-            if unknown:
-                self.learn(unknown)
-            yield b"".join(map(self.words.__getitem__, words))
+            long = self.learn(unknown) if unknown else None
+            yield b"".join(map((ChainMap(self.words, long) if long else self.words).__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -212,11 +243,11 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
     leaves unused files at worst. Null ids come first; rows of equal ids are ordered by their text's hash.
     Null and empty texts hold the end id alone. An empty table gives an empty manifest.
     """
-    bits = vocabulary_bits(tokenizer_file)
+    bits, folder = vocabulary_bits(tokenizer_file), qualified(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, end = _encoder(tokenizer_file), None, np.uint32(end_id).tobytes()
-        store, place = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, place = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         name, out = f"{place}/tokens-{part:06d}-{uuid.uuid4().hex}.bin", None
         for batch in batches:
@@ -238,21 +269,25 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return written(rows.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
-    spark = manifest.sparkSession
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone.
+
+    A row a document in the files, so null ids, repeated rows and texts without tokens come back as they were written;
+    of a very long document the ids are read at once. An empty manifest gives an empty table.
+    """
+    spark, folder = manifest.sparkSession, qualified(manifest.sparkSession, folder)
     files, before, rows = manifest.orderBy("part").collect(), 0, []  # a row a file
     for f in files:
         rows.append((f["path"], before))
         before += f["n_ids"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = fs.FileSystem.from_uri(folder)[0] if "://" in folder or folder.startswith("file:") else fs.LocalFileSystem()
+        store = fs.FileSystem.from_uri(folder)[0]
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(path) as source:
