@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicgrove.llm.storage import named_again, numbered, place_of
+
 SPACE = "▁"
-CACHED_CHUNKS = 400_000
+#: characters of the chunks that are kept, about 40 MB with their ids, and of the longest of them
+CACHED_CHARS, LONGEST_KEPT = 3_000_000, 64
 #: below the worst piece, as the unigram model sets it for a character that no piece holds
 UNKNOWN_PENALTY = 10.0
 
@@ -25,7 +29,7 @@ class PieceModel:
     text into pieces the one of the greatest sum of scores is taken; of equal sums, the one whose last piece is
     longest. A character that no piece holds is written as its UTF-8 bytes' pieces, or the unknown id where there
     are none. Texts are cut before runs of U+2581 and around line feeds, where no piece of the model crosses;
-    each cut of the text is solved once and kept in a bounded cache.
+    each cut of the text is solved once; short ones are kept in a cache bounded by its characters.
     """
 
     def __init__(self, path: str):
@@ -59,6 +63,7 @@ class PieceModel:
         self.cut = re.compile(r"(?s).+" if crossing else rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.lead = model.encode("a", out_type=str)[0].startswith(SPACE)
         self.kept: dict[str, bytes] = {}
+        self.kept_chars = 0
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of one chunk: each match that the automaton reports at a position relaxes that position's best sum."""
@@ -103,12 +108,18 @@ class PieceModel:
             return b""
         text = (" " + text if self.lead else text).replace(" ", SPACE)
         chunks = self.cut.findall(text)
-        kept = self.kept
-        if len(kept) > CACHED_CHUNKS:
-            kept.clear()
-        for chunk in set(chunks).difference(kept):
-            kept[chunk] = np.array(self.segment(chunk), "<i4").tobytes()
-        return b"".join(map(kept.__getitem__, chunks))
+        if self.kept_chars > CACHED_CHARS:
+            self.kept, self.kept_chars = {}, 0
+        known, long = self.kept, {}
+        for chunk in set(chunks).difference(known):
+            coded = np.array(self.segment(chunk), "<i4").tobytes()
+            if len(chunk) > LONGEST_KEPT:
+                long[chunk] = coded
+            else:
+                known[chunk] = coded
+                self.kept_chars += len(chunk)
+        both = ChainMap(known, long) if long else known
+        return b"".join(map(both.__getitem__, chunks))
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         """The text of ids: exact for what ``encode`` gave, but for U+2581, which is read as a space."""
@@ -126,18 +137,20 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text", keep
     """``docs`` with n_pieces, pieces_crc32, decoded_ok and, if asked for, piece_ids; all columns kept.
 
     Whole texts; null or empty ones have no ids. ``decoded_ok``: decoding the ids gives the text again, U+2581 read
-    as a space. Of columns whose names clash with the new ones, the new ones remain. Repeated rows stay.
+    as a space. Of columns whose names clash with the new ones, but for case, the new ones remain. Repeated rows stay
+    and get equal results; an empty table stays empty. A text of any length is encoded whole, in one task, in time and
+    memory that grow with it.
     """
-    new = ["n_pieces", "pieces_crc32", "decoded_ok"] + ["piece_ids"] * keep_ids
-    carried = [c for c in docs.columns if c.lower() not in new]
-    fields = [f for f in docs.schema.fields if f.name in carried]
+    rows = numbered(docs)
+    kinds = {"n_pieces": "long", "pieces_crc32": "long", "decoded_ok": "boolean"} | ({"piece_ids": "array<int>"} if keep_ids else {})
+    text = F.coalesce(F.col(f"c{place_of(docs, text_col)}").cast("string"), F.lit("")).alias("_encoded")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = [t.as_py() or "" for t in batch.column(len(carried))]
+                texts = batch.column(batch.num_columns - 1).to_pylist()
                 coded = [model.encode(t) for t in texts]
                 sizes = np.array([len(c) // 4 for c in coded], np.int64)
                 right = [model.decode(c) == t.replace(SPACE, " ") for c, t in zip(coded, texts, strict=True)]
@@ -146,8 +159,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text", keep
                     ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                     flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
                     made.append(pa.ListArray.from_arrays(pa.array(ends), flat))
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(carried))] + made, names=carried + new)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *kinds])
 
-    kinds = ["n_pieces long", "pieces_crc32 long", "decoded_ok boolean"] + ["piece_ids array<int>"] * keep_ids
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *kinds])
-    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("_encoded")).mapInArrow(encode, schema)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"{n} {k}" for n, k in kinds.items())])
+    return named_again(rows.select("*", text).mapInArrow(encode, schema), docs.columns, **{n: F.col(n) for n in kinds})

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicgrove.llm.storage import named_again, numbered, place_of
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: n-gram length -> largest share of a text's word characters that may lie in n-grams found twice or more
@@ -77,20 +79,19 @@ def quality_profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words in numpy; a window found twice or more covers its words. ``base_failed``: under 10 words, or over
     20 % of the words in repeated 5-word windows. ``kept`` also asks that no length covers more characters than
     ``LIMITS`` allows and that repeated lines hold at most ``LINE_LIMIT`` of the characters of lines with a word.
-    A null or empty text has no words and fails. Equal rows get equal results; of columns whose names clash with
-    the new ones, the new ones remain.
+    A null or empty text has no words and fails. Equal rows get equal results, an empty table stays empty, a text of
+    any length is measured whole in one task; of columns whose names clash with the new ones, but for case, the new
+    ones remain.
     """
-    new = [c.split()[0] for c in _COLUMNS.split(", ")]
-    carried = [c for c in docs.columns if c not in new]
-    fields = [f for f in docs.schema.fields if f.name in carried]
+    rows, names = numbered(docs), [c.split()[0] for c in _COLUMNS.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
+    text = F.col(f"c{place_of(docs, text_col)}").cast("string").alias("_measured")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_measured"))
-            rows = [profile(text.as_py()) for text in texts]
-            kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
-            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(carried))] + made, names=carried + new)
+            found = [profile(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            made = [pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), _COLUMNS])
-    return docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("string").alias("_measured")).mapInArrow(measure, schema)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), _COLUMNS])
+    return named_again(rows.select("*", text).mapInArrow(measure, schema), docs.columns, **{n: F.col(n) for n in names})
