@@ -14,9 +14,8 @@ SHINGLE, THRESHOLD = 12, 0.8
 #: smallest and largest value are two MinHash values. A pair with c of u shingles in common misses all bands with chance
 #: (1 - c (c - 1) / (u (u - 1)))^5: 1.0 % at 4 of 5, 0.8 % at 8 of 10, 0.6 % for long lines, at a similarity of 0.8.
 BANDS, TURN = 5, 13
-#: Lines of a bucket, by expectation, with which all others are compared, round by round, and rows of a block of the
-#: full comparison.
-PIVOTS, BLOCK = (4, 32), 1024
+#: Lines of a bucket, by expectation, with which all others are compared, and rows of a block of the full comparison.
+PIVOTS, BLOCK = 32, 1024
 #: Longs of a set's parity, 64 bits each.
 PARITY = 8
 #: Bytes of a character in UTF-32, so that a place is found without reading what is before it.
@@ -69,8 +68,8 @@ def _bands(lines: DataFrame) -> DataFrame:
 def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     """(k1, line) of the wanted lines, each read at its picked place alone."""
     rows = maybe_among(lines.select(F.col("place").alias("pick"), "k1", "line"), wanted, "pick")
-    once = rows.groupBy("pick", "k1").agg(F.any_value("line").alias("line"))  # rows that repeat a document
-    return written(once.join(wanted.select("pick", "k1"), ["pick", "k1"], "left_semi").dropDuplicates(["k1"]).select("k1", "line"), "texts")
+    found = rows.join(wanted.select("pick", "k1"), ["pick", "k1"], "left_semi")
+    return written(found.dropDuplicates(["k1"]).select("k1", "line"), "texts")  # rows that repeat a document
 
 
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -131,8 +130,8 @@ def _members(mixed: DataFrame, marks: DataFrame, wanted: DataFrame) -> DataFrame
     return mixed.join(marks, "k1").join(wanted.drop("pick"), "k1").withColumn("band", band)
 
 
-def _is_pivot(pivots: int) -> Column:
-    return F.pmod(F.xxhash64("k1"), "n") < pivots
+def _is_pivot() -> Column:
+    return F.pmod(F.xxhash64("k1"), "n") < PIVOTS
 
 
 _LIGHT = ["k1", "size", *[f"p{w}" for w in range(PARITY)]]
@@ -170,11 +169,11 @@ def _blocks() -> Column:
     return F.ceil(F.col("n") / F.lit(BLOCK))
 
 
-def _with_pivots(members: DataFrame, pivots: int) -> DataFrame:
-    """Pairs of each line of a bucket with each of about ``pivots`` of its lines: with all, where it has no more."""
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """Pairs of each line of a bucket with each of about PIVOTS of its lines: with all, where it has no more."""
     block = F.pmod(F.xxhash64("k1", F.lit(1)), _blocks()).alias("i")
     every = F.explode(F.sequence(F.lit(0).cast("long"), _blocks() - 1)).alias("i")
-    marked = members.withColumn("pivot", _is_pivot(pivots))
+    marked = members.withColumn("pivot", _is_pivot())
     left = _side(marked, "a", F.col("bucket"), block, more=("comp", "pivot"))
     right = _side(marked.where("pivot"), "b", F.col("bucket"), every, more=("comp",))
     once = ~F.col("a_pivot") | (F.col("a_k1") < F.col("b_k1"))
@@ -184,7 +183,7 @@ def _with_pivots(members: DataFrame, pivots: int) -> DataFrame:
 
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Pairs of all lines of each bucket that were no pivots, compared in blocks of BLOCK by BLOCK lines."""
-    dealt = members.where(~_is_pivot(PIVOTS[-1])).withColumn("mine", F.pmod(F.xxhash64("k1", F.lit(1)), _blocks())).withColumn("end", _blocks() - 1)
+    dealt = members.where(~_is_pivot()).withColumn("mine", F.pmod(F.xxhash64("k1", F.lit(1)), _blocks())).withColumn("end", _blocks() - 1)
     left = _side(dealt, "a", F.col("bucket"), F.col("band"), F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), F.col("end"))).alias("j"))
     right = _side(dealt, "b", F.col("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mine"))).alias("i"), F.col("mine").alias("j"))
     once = (F.col("i") < F.col("j")) | (F.col("a_k1") < F.col("b_k1"))
@@ -197,7 +196,7 @@ def _near_lines(bands: DataFrame, lines: DataFrame) -> DataFrame:
 
     1. In each bucket every line is compared with the smallest one, a row a line: near copies by the thousand become
        one component without a pair each.
-    2. In buckets that still hold several components every line is compared with about 4, and then 32 others of other
+    2. In buckets that still hold several components every line is compared with about PIVOTS others of other
        components. Buckets of no more lines than that are then compared in full.
     3. The larger ones of them that still hold several components are compared in full, in blocks.
 
@@ -213,13 +212,11 @@ def _near_lines(bands: DataFrame, lines: DataFrame) -> DataFrame:
     texts = _texts(wanted, lines)
     marks = _marks(texts)
     label = _merged(None, _alike(_with_heads(shared, marks), texts))
-    mixed, least = shared.drop("head"), 2
-    for pivots in PIVOTS:
-        mixed = _mixed(mixed.drop("comp"), label, least)
-        if mixed.isEmpty():
-            return label
-        label, least = _merged(label, _alike(_with_pivots(_members(mixed, marks, wanted), pivots), texts)), pivots
-    mixed = _mixed(mixed.drop("comp"), label, least)
+    mixed = _mixed(shared.drop("head"), label, 2)
+    if mixed.isEmpty():
+        return label
+    label = _merged(label, _alike(_with_pivots(_members(mixed, marks, wanted)), texts))
+    mixed = _mixed(mixed.drop("comp"), label, PIVOTS)
     if mixed.isEmpty():
         return label
     return _merged(label, _alike(_in_blocks(_members(mixed, marks, wanted)), texts))
