@@ -116,9 +116,9 @@ def maybe_among(df: DataFrame, found: DataFrame, *keys: str, among: bool = True)
     cells = min(MOST_CELLS, 1 << max(10, (CELLS_A_KEY * n - 1).bit_length()))
     cell = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(cells))
     marked = found.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("_word")).agg(F.bit_or(_bit(F.col("cell").bitwiseAND(F.lit(63)))).alias("_bits"))
-    joined = df.withColumn("_cell", cell).join(F.broadcast(marked), F.shiftright("_cell", 6) == F.col("_word"), "inner" if among else "left")
-    held = F.col("_bits").bitwiseAND(_bit(F.col("_cell").bitwiseAND(F.lit(63)))) != 0
-    return joined.where(held if among else ~F.coalesce(held, F.lit(False))).drop("_cell", "_word", "_bits")
+    # a semi-join with the bit in its condition: no later join is moved below it
+    held = (F.shiftright(cell, 6) == F.col("_word")) & (F.col("_bits").bitwiseAND(_bit(cell.bitwiseAND(F.lit(63)))) != 0)
+    return df.join(F.broadcast(marked), held, "left_semi" if among else "left_anti")
 
 
 def without(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
