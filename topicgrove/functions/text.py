@@ -80,8 +80,13 @@ def sigmoid(x: Column) -> Column:
 
 
 def uniform(*keys: Column | str, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the keys and the seed alone, so that a task run again draws the same."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+    """A number in [0, 1) that depends on the keys and the seed alone, so that a task run again draws the same.
+
+    52 bits of the MD5 of the keys and the seed, joined by bars: any SQL engine can draw the same numbers.
+    """
+    named = [F.col(k) if isinstance(k, str) else k for k in keys]
+    digits = F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in named], F.lit(str(seed)))), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def parse_metapath(path: str) -> list[tuple[str, str, int]]:

@@ -36,10 +36,19 @@ def add(a: Column, b: Column) -> Column:
 
 
 def log_bessel(order: float, x: np.ndarray) -> np.ndarray:
-    """ln I_order(x) by the uniform asymptotic expansion for large orders, first term."""
-    z = np.asarray(x, float) / order
+    """ln I_order(x): the power series up to 1000, beyond it the uniform asymptotic expansion to the second term."""
+    x = np.asarray(x, float)
+    small = np.minimum(x, 1000.0)
+    k = np.arange(1, 64 + 2 * int(np.ceil(small.max(initial=1.0))))
+    steps = 2 * np.log(small / 2)[..., None] - np.log(k) - np.log(order + k)
+    terms = np.concatenate([np.zeros((*x.shape, 1)), np.cumsum(steps, axis=-1)], axis=-1)
+    top = terms.max(axis=-1, keepdims=True)
+    series = order * np.log(small / 2) - math.lgamma(order + 1) + top[..., 0] + np.log(np.exp(terms - top).sum(axis=-1))
+    z = x / order
     root = np.sqrt(1 + z * z)
-    return order * (root + np.log(z / (1 + root))) - 0.5 * np.log(2 * math.pi * order) - 0.5 * np.log(root)
+    t = 1 / root
+    wide = order * (root + np.log(z / (1 + root))) - 0.5 * np.log(2 * math.pi * order) - 0.5 * np.log(root) + np.log1p((3 * t - 5 * t**3) / 24 / order)
+    return np.where(x <= 1000, series, wide)
 
 
 def vmf_log_normalizer(kappa: np.ndarray, dim: int) -> np.ndarray:

@@ -142,12 +142,18 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def aligned(a: DataFrame, b: DataFrame) -> dict[int, int]:
-    """Labels of ``a`` -> labels of ``b``, the pair of the greatest overlap first; the k x k table is on the driver."""
-    table = sorted(overlaps(a, b).collect(), key=lambda r: (-r["jaccard"], r["a"], r["b"]))
+    """Labels of ``a`` -> labels of ``b``; the k x k table is on the driver.
+
+    The labels of ``a`` choose in their order, each the one of the greatest overlap that is left, the smaller of equals.
+    """
+    best: dict[int, list[tuple[float, int]]] = {}
+    for r in overlaps(a, b).collect():
+        best.setdefault(r["a"], []).append((-round(r["jaccard"], 9), r["b"]))
     match: dict[int, int] = {}
-    for r in table:
-        if r["a"] not in match and r["b"] not in match.values():
-            match[r["a"]] = r["b"]
+    for label in sorted(best):
+        left = sorted(x for x in best[label] if x[1] not in match.values())
+        if left:
+            match[label] = left[0][1]
     return match
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicgrove.functions.text import contrast_equation
@@ -13,14 +13,14 @@ def best_sibling_tf(stats: DataFrame) -> DataFrame:
 
     The two largest of each (parent, term) tell it for every node: no node is joined with its siblings.
     """
-    positive = stats.where("tf > 0")
-    top = positive.groupBy("parent", "term").agg(F.max("tf").alias("most"))
-    tops = positive.join(top, ["parent", "term"])
-    holders = tops.groupBy("parent", "term").agg(
-        F.first("most").alias("most"), F.sum((F.col("tf") == F.col("most")).cast("int")).alias("holders"), F.max(F.when(F.col("tf") < F.col("most"), F.col("tf"))).alias("next")
-    )
-    other = F.when((F.col("tf") < F.col("most")) | (F.col("holders") > 1), F.col("most")).otherwise(F.col("next"))
-    return stats.join(holders, ["parent", "term"], "left").select("prefix", "term", other.alias("sibling_tf"))
+    return with_sibling_tf(stats).select("prefix", "term", "sibling_tf")
+
+
+def with_sibling_tf(stats: DataFrame) -> DataFrame:
+    """``stats`` with ``sibling_tf``; one window over (parent, term), which holds the children of one parent at most."""
+    all_ = F.collect_list(F.when(F.col("tf") > 0, F.col("tf"))).over(Window.partitionBy("parent", "term"))
+    most = F.sort_array(all_, asc=False)
+    return stats.withColumn("sibling_tf", F.when(F.col("tf") == F.get(most, 0), F.get(most, 1)).otherwise(F.get(most, 0)))
 
 
 def node_contrast(stats: DataFrame, parents: DataFrame, tf_lift: float, idf_lift: float, siblings: bool = True) -> DataFrame:
@@ -29,10 +29,10 @@ def node_contrast(stats: DataFrame, parents: DataFrame, tf_lift: float, idf_lift
     distinct = min(tf / parent's tf, tf / best sibling's tf), the second only if a sibling has the term; a term
     without tf scores 0.
     """
-    joined = stats.join(parents.select("parent", "term", F.col("tf").alias("parent_tf")), ["parent", "term"])
+    own = with_sibling_tf(stats) if siblings else stats
+    joined = own.join(parents.select("parent", "term", F.col("tf").alias("parent_tf")), ["parent", "term"])
     to_parent = F.try_divide("tf", "parent_tf")
     if siblings:
-        joined = joined.join(best_sibling_tf(stats), ["prefix", "term"], "left")
         distinct = F.least(to_parent, F.try_divide(F.col("tf"), F.col("sibling_tf")))  # least skips nulls
     else:
         distinct = to_parent

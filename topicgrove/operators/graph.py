@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicgrove.functions.text import parse_metapath
+from topicgrove.operators.ranges import numbered
+from topicgrove.sources.checkpoints import held
 from topicgrove.sources.network import Network, summed
 
 
@@ -20,8 +22,10 @@ def of_type(nodes: DataFrame, node_type: str) -> DataFrame:
 
 
 def positions(nodes: DataFrame) -> DataFrame:
-    """Nodes with their position among those of their type, by id."""
-    return nodes.withColumn("position", F.row_number().over(Window.partitionBy("node_type").orderBy("nid")) - 1)
+    """Nodes with their position among those of their type, by id: numbered by ranges of (type, id), so that no task holds a type."""
+    placed = numbered(nodes, "at_all", F.col("node_type"), F.col("nid"))
+    first = placed.groupBy("node_type").agg(F.min("at_all").alias("first"))  # a row a type
+    return placed.join(F.broadcast(first), "node_type").withColumn("position", F.col("at_all") - F.col("first")).drop("at_all", "first")
 
 
 def lookup(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -52,24 +56,18 @@ def type_slice(network: Network, source: str, target: str) -> DataFrame:
 def subgraph(network: Network, keep: DataFrame) -> Network:
     """The network among the ids ``keep`` (nid), ids made dense in their order.
 
-    Dense numbers need one order of all kept nodes: ranges are numbered apart and moved by the ranges before them.
+    They are numbered by sorted ranges of the kept nodes.
     """
     kept = network.nodes.join(keep.select("nid").distinct(), "nid", "left_semi")
-    span = kept.agg(F.min("nid").alias("low"), F.max("nid").alias("high"))
-    cells = 1024
-    celled = kept.crossJoin(F.broadcast(span)).withColumn("cell", F.floor((F.col("nid") - F.col("low")) * F.lit(float(cells)) / (F.col("high") - F.col("low") + 1)).cast("int")).drop("low", "high")
-    sizes = celled.groupBy("cell").agg(F.count("*").alias("n"))  # 1024 rows at most
-    before = sizes.select("cell", (F.sum("n").over(Window.orderBy("cell")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("cell").orderBy("nid")) - 1
-    numbered = celled.withColumn("inside", inside).join(F.broadcast(before), "cell").withColumn("new", (F.col("before") + F.col("inside")).cast("long"))
-    ids = numbered.select("nid", "new")
+    moved = held(numbered(kept, "new", F.col("nid")))
+    ids = moved.select("nid", "new")
     edges = (
         network.edges.join(ids.select(F.col("nid").alias("src"), F.col("new").alias("_s")), "src")
         .join(ids.select(F.col("nid").alias("dst"), F.col("new").alias("_d")), "dst")
         .select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "w")
     )
     extra = [c for c in network.nodes.columns if c != "nid"]
-    return Network(numbered.select(F.col("new").alias("nid"), *extra), edges)
+    return Network(moved.select(F.col("new").alias("nid"), *extra), edges)
 
 
 def product(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from topicgrove.functions.text import period_of, uniform
 from topicgrove.operators.graph import of_type, product, type_slice
+from topicgrove.operators.ranges import numbered
 from topicgrove.operators.ranking import bipartite_authority, normalized_entropy
+from topicgrove.operators.walks import cell_of, in_cells, placed_intervals
+from topicgrove.sources.checkpoints import held
 from topicgrove.sources.network import Network
 
 
@@ -74,10 +77,24 @@ class TermVenuePeriod:
         return counted.select(F.lit(self.name).alias("motif"), F.col("src").alias("term"), "instance", "w")
 
 
-def author_pairs(network: Network) -> DataFrame:
-    """(p, a1, a2) with a1 < a2 of each paper: pairs within one paper's authors, the join being on the paper."""
-    pa = type_slice(network, "P", "A").select(F.col("src").alias("p"), F.col("dst").alias("a"))
-    return pa.select("p", F.col("a").alias("a1")).join(pa.select("p", F.col("a").alias("a2")), "p").where("a1 < a2")
+#: authors of a paper that are paired in one piece
+PIECE = 512
+
+
+def author_pairs(network: Network, threshold: int = 1) -> DataFrame:
+    """(p, a1, a2) with a1 < a2 of each paper, of authors who have ``threshold`` papers at least.
+
+    The join is on the paper; one of very many authors is joined in pieces of about PIECE first authors each.
+    """
+    pa = type_slice(network, "P", "A").select(F.col("src").alias("p"), F.col("dst").alias("a")).distinct()
+    if threshold > 1:
+        pa = held(pa)
+        pa = pa.join(pa.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select("a"), "a", "left_semi")
+    sizes = pa.groupBy("p").agg(F.ceil(F.count("*") / F.lit(PIECE)).alias("pieces"))
+    sized = pa.join(sizes, "p")
+    left = sized.select("p", F.col("a").alias("a1"), F.pmod(F.xxhash64("a"), "pieces").alias("piece"))
+    right = sized.select("p", F.col("a").alias("a2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    return left.join(right, ["p", "piece"]).where("a1 < a2").select("p", "a1", "a2")
 
 
 def frequent_pairs(pairs: DataFrame, threshold: int = 5) -> DataFrame:
@@ -96,7 +113,7 @@ class TermAuthorPair:
         self.threshold, self.strict = threshold, strict
 
     def match(self, network, docs=None, terms=None):
-        pairs = author_pairs(network)
+        pairs = held(author_pairs(network, self.threshold))
         frequent = pairs.join(frequent_pairs(pairs, self.threshold).select("a1", "a2"), ["a1", "a2"], "left_semi")
         kp = term_documents(network, docs, terms).select(F.col("src").alias("term"), F.col("dst").alias("p"))
         met = kp.join(frequent, "p")
@@ -151,28 +168,24 @@ def sampled_sequences(context: DataFrame, per_term: int = 40, length: int = 4, w
     Draws are uniform among the term's instances, or by weight; ``smooth_all`` draws among all instances of the
     motif. A term without instances has no sequences. The draws depend on the keys and the seed alone.
     """
-    order = Window.partitionBy("motif", "term").orderBy("instance")
-    whole = Window.partitionBy("motif", "term")
     if smooth_all:
-        listed = context.select("motif", "instance").distinct()
-        listed = listed.select("motif", "instance", (F.row_number().over(Window.partitionBy("motif").orderBy("instance")) - 1).alias("at"))
-        n = listed.groupBy("motif").agg(F.count("*").alias("n"))
-        terms = context.select("motif", "term").distinct().join(F.broadcast(n), "motif")
+        listed = numbered(context.select("motif", "instance").distinct(), "at_all", F.col("motif"), F.col("instance"))
+        sizes = listed.groupBy("motif").agg(F.count("*").alias("n"), F.min("at_all").alias("first"))  # a row a motif
+        listed = listed.join(F.broadcast(sizes), "motif").select("motif", "instance", (F.col("at_all") - F.col("first")).alias("at"))
+        terms = context.select("motif", "term").distinct().join(F.broadcast(sizes), "motif").select("motif", "term", "n")
     else:
-        mass = F.col("w") if weighted else F.lit(1.0)
-        placed = context.select("motif", "term", "instance", F.sum(mass).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"), mass.alias("mass"), F.sum(mass).over(whole).alias("all"))
-        terms = placed.select("motif", "term", "all").distinct()
+        placed = held(placed_intervals(context, ["motif", "term"], "instance", F.col("w") if weighted else F.lit(1.0)))
+        terms = placed.select("motif", "term", "total", "n").distinct()
     draws = terms.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(per_term - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
     u = uniform("motif", "term", "seq", "step", seed=seed)
+    names = ["motif", "term", "seq", "step", "instance"]
     if smooth_all:
-        drawn = draws.withColumn("at", F.floor(u * F.col("n")).cast("int"))
-        return drawn.join(listed, ["motif", "at"]).select("motif", "term", "seq", "step", "instance")
-    if not weighted:  # the draw is a position: an equi-join
-        at = draws.withColumn("upto", F.floor(u * F.col("all")) + 1.0)
-        return at.join(placed.select("motif", "term", "instance", "upto"), ["motif", "term", "upto"]).select("motif", "term", "seq", "step", "instance")
-    at = draws.withColumn("u", u * F.col("all")).drop("all")
-    met = at.join(placed, ["motif", "term"]).where((F.col("u") < F.col("upto")) & (F.col("u") >= F.col("upto") - F.col("mass")))
-    return met.select("motif", "term", "seq", "step", "instance")
+        return draws.withColumn("at", F.floor(u * F.col("n"))).join(listed, ["motif", "at"]).select(*names)
+    drawn = draws.withColumn("u", u * F.col("total"))
+    if not weighted:  # the draw is a place: an equi-join
+        return drawn.withColumn("low", F.floor("u").cast("double")).join(placed.select("motif", "term", "instance", "low"), ["motif", "term", "low"]).select(*names)
+    rows = in_cells(placed).select("motif", "term", "instance", "low", "high", "cell")
+    return drawn.withColumn("cell", cell_of("u")).join(rows, ["motif", "term", "cell"]).where("low <= u and u < high").select(*names)
 
 
 def sequence_lines(draws: DataFrame, seed: int = 0) -> DataFrame:
@@ -180,4 +193,4 @@ def sequence_lines(draws: DataFrame, seed: int = 0) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.struct("step", F.concat_ws("_", "motif", F.translate("instance", " ", "_")).alias("x"))))
     rows = draws.groupBy("motif", "term", "seq").agg(F.transform(steps, lambda s: s["x"]).alias("x"))
     line = F.concat_ws(" ", F.col("term").cast("string"), F.array_join("x", " "))
-    return rows.select(line.alias("line"), F.xxhash64("motif", "term", "seq", F.lit(seed)).alias("_o")).orderBy("_o").select("line")
+    return rows.select(line.alias("line"), F.xxhash64("motif", "term", "seq", F.lit(seed)).alias("at")).orderBy("at").select("line")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicgrove.operators.graph import sym_normalized
-from topicgrove.sources.checkpoints import held
+from topicgrove.sources.checkpoints import dealt, held
 
 
 def uniform_reset(seeds: DataFrame) -> DataFrame:
@@ -22,32 +22,59 @@ def weighted_reset(seeds: DataFrame) -> DataFrame:
     return seeds.join(F.broadcast(total), "cluster").select("cluster", "nid", F.coalesce(F.try_divide("p", "_n"), F.lit(0.0)).alias("p"))
 
 
+#: neighbours in a row of an adjacency table, rows of one node that are kept together, rounds between two cuts of the plan
+CHUNK, TOGETHER, ROUNDS = 1024, 1024, 4
+
+
+def dealt_adjacency(edges: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(src, part, to), to being arrays of (dst, share), dealt by (src, part); and (nid, parts) of the nodes of several parts.
+
+    A node has a row for about CHUNK neighbours and a part for TOGETHER such rows, so that the neighbours of a node
+    that touches a third of all others are spread over the partitions.
+    """
+    w = F.col("w").cast("double") if weighted else F.lit(1.0)
+    out = edges.groupBy("src").agg(F.sum(w).alias("out"), F.ceil(F.count("*") / F.lit(CHUNK)).alias("rows"))
+    rows = edges.join(out, "src").select("src", "rows", F.pmod(F.xxhash64("dst"), "rows").alias("row"), F.struct("dst", (w / F.col("out")).alias("share")).alias("one"))
+    lists = rows.groupBy("src", "rows", "row").agg(F.collect_list("one").alias("to"))
+    parts = F.ceil(F.col("rows") / F.lit(TOGETHER))
+    hubs = held(out.select(F.col("src").alias("nid"), parts.alias("parts")).where("parts > 1"))
+    return dealt(lists.select("src", F.pmod("row", parts).cast("int").alias("part"), "to"), "src", "part"), hubs
+
+
 def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.85, iterations: int = 10, weighted: bool = False, tolerance: float | None = None) -> DataFrame:
     """(cluster, nid, p): p' = (1 - d) r + d (inflow + dangling mass x r), from p = r; ``d`` is the chance to go on.
 
     ``reset`` (cluster, nid, p) sums to 1 in each cluster. Edges count alike unless ``weighted``. With a tolerance,
-    rounds end once no cluster's L1 change exceeds it, at ``iterations`` at the latest.
+    rounds end once no cluster's L1 change exceeds it, at ``iterations`` at the latest. Edges are shuffled before the
+    first round alone; a round shuffles states, whose inflow is summed up on the map side and together with the reset.
     """
-    w = F.col("w") if weighted else F.lit(1.0)
-    out = edges.groupBy("src").agg(F.sum(w).alias("_out"))
-    step = held(edges.join(out, "src").select("src", "dst", (w / F.col("_out")).alias("share")))
-    p = reset = held(reset)
-    for _ in range(iterations):
-        moved = held(p.join(step, F.col("nid") == F.col("src")).groupBy("cluster", F.col("dst").alias("nid")).agg(F.sum(F.col("p") * F.col("share")).alias("inflow")))
-        moving = moved.groupBy("cluster").agg(F.sum("inflow").alias("_moved"))
-        r = reset.select("cluster", "nid", F.col("p").alias("r"))
-        lost = p.groupBy("cluster").agg(F.sum("p").alias("_all")).join(moving, "cluster", "left")
-        lost = lost.select("cluster", (F.col("_all") - F.coalesce("_moved", F.lit(0.0))).alias("_lost"))  # a row a cluster
-        new = moved.join(r, ["cluster", "nid"], "full").join(F.broadcast(lost), "cluster")
-        rr = F.coalesce("r", F.lit(0.0))
-        value = F.lit(1 - damping) * rr + F.lit(damping) * (F.coalesce("inflow", F.lit(0.0)) + F.col("_lost") * rr)
-        new = held(new.select("cluster", "nid", value.alias("p")))
+    step, hubs = dealt_adjacency(edges, weighted)
+    p = reset = held(reset.select("cluster", "nid", "p"))
+    sources = step.select("src").distinct()
+    ends = step.select(F.explode("to").alias("t")).select(F.col("t.dst").alias("nid")).union(reset.select("nid")).distinct()
+    dangling = held(ends.join(sources, F.col("nid") == F.col("src"), "left_anti"))
+    loses, split = not dangling.isEmpty(), not hubs.isEmpty()
+    back = reset.select("cluster", "nid", F.lit(0.0).alias("inflow"), F.col("p").alias("r"))
+    for i in range(iterations):
+        if split:
+            out = p.join(hubs, "nid", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1)))
+        else:
+            out = p.withColumn("part", F.lit(0))
+        met = out.join(step, (F.col("nid") == step.src) & (out.part == step.part)).select("cluster", "p", F.explode("to").alias("t"))
+        flow = met.select("cluster", F.col("t.dst").alias("nid"), (F.col("p") * F.col("t.share")).alias("inflow"), F.lit(0.0).alias("r"))
+        new = flow.unionByName(back).groupBy("cluster", "nid").agg(F.sum("inflow").alias("inflow"), F.sum("r").alias("r"))
+        inflow = F.col("inflow")
+        if loses:
+            lost = p.join(dangling, "nid", "left_semi").groupBy("cluster").agg(F.sum("p").alias("lost"))  # a row a cluster
+            new, inflow = new.join(F.broadcast(lost), "cluster", "left"), inflow + F.coalesce("lost", F.lit(0.0)) * F.col("r")
+        new = new.select("cluster", "nid", (F.lit(1 - damping) * F.col("r") + F.lit(damping) * inflow).alias("p"))
+        if loses or tolerance is not None or i % ROUNDS == ROUNDS - 1:
+            new = held(new)
         if tolerance is not None:
-            old = p.select("cluster", "nid", F.col("p").alias("before"))
-            change = new.join(old, ["cluster", "nid"], "full").groupBy("cluster").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))).alias("c"))
-            p = new
+            both = new.select("cluster", "nid", "p").unionByName(p.select("cluster", "nid", (-F.col("p")).alias("p")))
+            change = both.groupBy("cluster", "nid").agg(F.sum("p").alias("c")).groupBy("cluster").agg(F.sum(F.abs("c")).alias("c"))
             if (change.agg(F.max("c")).first()[0] or 0) <= tolerance:
-                break
+                return new
         p = new
     return p
 

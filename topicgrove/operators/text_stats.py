@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicgrove.functions.text import is_phrase, keep_probability, tokens, uniform
+from topicgrove.operators.ranges import numbered, summed_up
 
 
 def count_terms(docs: DataFrame, *by: str, terms_col: str = "phrases", weight: str | None = None) -> DataFrame:
@@ -15,18 +16,28 @@ def count_terms(docs: DataFrame, *by: str, terms_col: str = "phrases", weight: s
     return each.groupBy(*by, "doc_id", "weight", "term").agg(F.count("term").alias("n"))
 
 
-def tf_idf(counts: DataFrame, *by: str, phrases: DataFrame | None = None) -> DataFrame:
-    """(by..., term, tf, idf) from ``count_terms`` rows.
+def term_sums(counts: DataFrame, *by: str) -> DataFrame:
+    """(by..., term, mass, df) from ``count_terms`` rows: weighted occurrences and documents of each term."""
+    return counts.where("term is not null").groupBy(*by, "term").agg(F.sum(F.col("n") * F.col("weight")).alias("mass"), F.sum("weight").alias("df"))
 
-    tf is the weighted share of all occurrences, those outside ``phrases`` included; idf = ln(sum of weights of all
-    documents / sum of weights of documents with the term). A listed phrase that is absent has 0 and 0 where there is
-    a group to be absent from. A group without occurrences has tf 0.
-    """
+
+def group_totals(counts: DataFrame, *by: str) -> DataFrame:
+    """(by..., all_mass, all_docs) from ``count_terms`` rows; a row a group, whose keys are taxonomy nodes."""
+    docs = counts.groupBy(*by, "doc_id").agg(F.max("weight").alias("weight"), F.sum(F.col("n") * F.col("weight")).alias("mass"))
+    return docs.groupBy(*by).agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_docs"))
+
+
+def rolled_up(sums: DataFrame, totals: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Sums and totals of coarser groups, where each document is in one of the finer ones."""
+    return (
+        sums.groupBy(*by, "term").agg(F.sum("mass").alias("mass"), F.sum("df").alias("df")),
+        totals.groupBy(*by).agg(F.sum("all_mass").alias("all_mass"), F.sum("all_docs").alias("all_docs")),
+    )
+
+
+def from_sums(by_term: DataFrame, totals: DataFrame, *by: str, phrases: DataFrame | None = None) -> DataFrame:
+    """(by..., term, tf, idf) as ``tf_idf`` gives it."""
     keys = list(by)
-    by_term = counts.where("term is not null").groupBy(*keys, "term").agg(F.sum(F.col("n") * F.col("weight")).alias("mass"), F.sum("weight").alias("df"))
-    docs = counts.groupBy(*keys, "doc_id").agg(F.max("weight").alias("weight"), F.sum(F.col("n") * F.col("weight")).alias("mass"))
-    # a row a group: group keys are taxonomy nodes
-    totals = docs.groupBy(*keys).agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_docs"))
     if phrases is not None:
         listed = F.broadcast(totals.select(*keys)).crossJoin(phrases.select("term").distinct()) if keys else phrases.select("term").distinct()
         by_term = listed.join(by_term, [*keys, "term"], "left")
@@ -36,6 +47,16 @@ def tf_idf(counts: DataFrame, *by: str, phrases: DataFrame | None = None) -> Dat
     return joined.select(*keys, "term", tf.alias("tf"), idf.alias("idf"))
 
 
+def tf_idf(counts: DataFrame, *by: str, phrases: DataFrame | None = None) -> DataFrame:
+    """(by..., term, tf, idf) from ``count_terms`` rows.
+
+    tf is the weighted share of all occurrences, those outside ``phrases`` included; idf = ln(sum of weights of all
+    documents / sum of weights of documents with the term). A listed phrase that is absent has 0 and 0 where there is
+    a group to be absent from. A group without occurrences has tf 0.
+    """
+    return from_sums(term_sums(counts, *by), group_totals(counts, *by), *by, phrases=phrases)
+
+
 def background_tf_idf(counts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(term, tf, idf) of listed phrases in unweighted background counts: tf = (count + 1) / all, idf = ln(docs / df) or 0."""
     by_term = counts.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
@@ -81,9 +102,8 @@ def pruned(vocabulary: DataFrame, min_count: int = 2) -> DataFrame:
 
 
 def ranked(vocabulary: DataFrame) -> DataFrame:
-    """(word, cn, idx): ``</s>`` first, then by falling count, ties by word. The window holds the vocabulary."""
-    order = Window.orderBy(F.col("word") != "</s>", F.desc("cn"), "word")
-    return vocabulary.select("word", "cn", (F.row_number().over(order) - 1).alias("idx"))
+    """(word, cn, idx): ``</s>`` first, then by falling count, ties by word; numbered by sorted ranges."""
+    return numbered(vocabulary.select("word", "cn"), "idx", F.col("word") != "</s>", F.desc("cn"), F.col("word"))
 
 
 def keep_probabilities(vocabulary: DataFrame, sample: float = 1e-4) -> DataFrame:
@@ -99,10 +119,10 @@ def subsampled(words: DataFrame, vocabulary: DataFrame, sample: float = 1e-4, se
 
 def noise_distribution(vocabulary: DataFrame, power: float = 0.75) -> DataFrame:
     """(word, p, upto): chance of each word as a negative and the running sum in vocabulary order."""
-    mass = F.pow(F.col("cn").cast("double"), F.lit(power))
-    order = Window.orderBy(F.desc("cn"), "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = mass / F.sum(mass).over(Window.partitionBy())
-    return vocabulary.select("word", "cn", p.alias("p")).withColumn("upto", F.sum("p").over(order))
+    massed = vocabulary.select("word", "cn", F.pow(F.col("cn").cast("double"), F.lit(power)).alias("mass"))
+    total = massed.agg(F.sum("mass").alias("all_mass"))  # one row
+    shares = massed.crossJoin(F.broadcast(total)).select("word", "cn", (F.col("mass") / F.col("all_mass")).alias("p"))
+    return summed_up(shares, "p", "upto", F.desc("cn"), F.col("word"))
 
 
 def skipgram_pairs(docs: DataFrame, window: int, words_col: str = "words") -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -216,9 +217,11 @@ def distinct_terms(spark, sf_dir):
 
 
 def _node_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    counts = star.doc_terms(spark, sf_dir).withColumn("weight", F.lit(1.0))
-    own = text_stats.tf_idf(counts, "prefix").withColumn("parent", X.parent_prefix(F.col("prefix")))
-    return own, text_stats.tf_idf(counts, "parent")
+    """(prefix, parent, term, tf, idf) and (parent, term, tf, idf): documents are counted once, parents rolled up from their nodes."""
+    counts = held(star.doc_terms(spark, sf_dir).withColumn("weight", F.lit(1.0)))
+    sums = held(text_stats.term_sums(counts, "prefix", "parent"))
+    totals = held(text_stats.group_totals(counts, "prefix", "parent"))
+    return text_stats.from_sums(sums, totals, "prefix", "parent"), text_stats.from_sums(*text_stats.rolled_up(sums, totals, "parent"), "parent")
 
 
 def _contrast_sql(siblings: bool, a: float, b: float) -> str:
@@ -264,9 +267,10 @@ def topk_per_node(spark, sf_dir):
     return topk.top_k_by(own, ["prefix"], "tf", 20, "term").select("prefix", "term", "rank")
 
 
-@query("candidate_cut", "SELECT o_custkey, CAST(least(500, floor(0.2E0 * count(*))) AS BIGINT) AS cut FROM orders GROUP BY 1")
+@query("candidate_cut", "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS i, count(*) OVER () AS n FROM orders) WHERE i <= least(500, floor(0.2E0 * n))")
 def candidate_cut(spark, sf_dir):
-    return star.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.least(F.lit(500), F.floor(F.lit(0.2) * F.count("*"))).cast("long").alias("cut"))
+    orders = star.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return topk.top_k(orders, "o_totalprice", topk.candidate_cut(orders.count()), "o_orderkey")
 
 
 @query("order_stat_threshold", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT o_totalprice FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC) AS i, count(*) OVER () AS n FROM orders) WHERE i = floor(0.2E0 * n) + 1)")
@@ -301,10 +305,18 @@ def _motif(matcher: motifs.Matcher) -> Query:
     return lambda spark, sf_dir: matcher.match(_net(spark, sf_dir))
 
 
+def _motif_of_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a node are its urgent orders, its terms the names of small parts."""
+    urgent = star.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(star.nid("P", F.col("o_orderkey")).alias("nid"))
+    small = star.terms(spark, sf_dir).join(star.table(spark, sf_dir, "part").where("p_size <= 25").select("p_name"), "p_name", "left_semi").select("nid")
+    return motifs.TermAuthor().match(_net(spark, sf_dir), urgent, small)
+
+
 PAIRS = "pr AS (SELECT x.p, x.a AS a1, y.a AS a2 FROM pa x JOIN pa y ON x.p = y.p AND x.a < y.a), fp AS (SELECT a1, a2, count(*) AS n FROM pr GROUP BY 1, 2 HAVING count(*) >= 5)"
 query("motif_kp", f"WITH {STAR} SELECT 'KP' AS motif, k AS term, CAST(p AS VARCHAR) AS instance, w FROM kp")(_motif(motifs.TermPaper()))
 query("motif_kpv", f"WITH {STAR}, {KPV_SQL} SELECT 'KPV' AS motif, src AS term, CAST(dst AS VARCHAR) AS instance, w FROM kpv")(_motif(motifs.TermVenue()))
 query("motif_kpa", f"WITH {STAR} SELECT 'KPA' AS motif, kp.k AS term, CAST(pa.a AS VARCHAR) AS instance, CAST(sum(kp.w * pa.w) AS DOUBLE) AS w FROM kp JOIN pa USING (p) GROUP BY 1, 2, 3")(_motif(motifs.TermAuthor()))
+query("motif_kpa_of_node", f"WITH {STAR}, dn AS (SELECT 1000000000 + o_orderkey AS p FROM orders WHERE o_orderpriority = '1-URGENT'), tn AS (SELECT DISTINCT k.nid AS k FROM part JOIN k USING (p_name) WHERE p_size <= 25) SELECT 'KPA' AS motif, kp.k AS term, CAST(pa.a AS VARCHAR) AS instance, CAST(sum(kp.w * pa.w) AS DOUBLE) AS w FROM kp JOIN pa USING (p) WHERE kp.p IN (SELECT p FROM dn) AND kp.k IN (SELECT k FROM tn) GROUP BY 1, 2, 3")(_motif_of_node)
 query("motif_kpvy", f"WITH {STAR} SELECT 'KPVY' AS motif, kp.k AS term, v || ' ' || greatest(((y - 5000000000) // 5 + 1) * 5, 1965) AS instance, CAST(count(*) AS DOUBLE) AS w FROM kp JOIN pv USING (p) JOIN py USING (p) WHERE y < 5000002020 GROUP BY 1, 2, 3")(_motif(motifs.TermVenuePeriod()))
 query("motif_kpaa", f"WITH {STAR}, {PAIRS} SELECT 'KPAA' AS motif, kp.k AS term, a1 || ' - ' || a2 AS instance, CAST(count(DISTINCT p) AS DOUBLE) AS w FROM kp JOIN pr USING (p) JOIN fp USING (a1, a2) GROUP BY 1, 2, 3")(_motif(motifs.TermAuthorPair()))
 query(
@@ -441,10 +453,10 @@ def subsample_keep_prob(spark, sf_dir):
     return text_stats.keep_probabilities(kept).select("word", r6("keep_p").alias("keep_p"))
 
 
-@query("unigram75", f"WITH {WORDS}, v AS (SELECT word, pow(cn, 0.75E0) AS m FROM w WHERE cn >= 2 OR word = '</s>') SELECT word, round(m / sum(m) OVER () * 1E6, 3) AS p FROM v")
+@query("unigram75", f"WITH {WORDS}, v AS (SELECT word, cn, pow(cn, 0.75E0) AS m FROM w WHERE cn >= 2 OR word = '</s>') SELECT word, round(m / sum(m) OVER () * 1E6, 3) AS p, round(sum(m) OVER (ORDER BY cn DESC, word ROWS UNBOUNDED PRECEDING) / sum(m) OVER () * 1E3, 3) AS upto FROM v")
 def unigram75(spark, sf_dir):
     kept = text_stats.pruned(text_stats.word_counts(_lines(spark, sf_dir)))
-    return text_stats.noise_distribution(kept).select("word", F.round(F.col("p") * 1e6, 3).alias("p"))
+    return text_stats.noise_distribution(kept).select("word", F.round(F.col("p") * 1e6, 3).alias("p"), F.round(F.col("upto") * 1e3, 3).alias("upto"))
 
 
 @query(
@@ -485,10 +497,18 @@ def vec_cosine(spark, sf_dir):
     return scored.select("term", "cluster", r6(V.dot(F.col("vec"), F.col("mu"))).alias("cosine"))
 
 
-@query("vmf_posterior_fixed_params", f"WITH {DIM}, d AS (SELECT term, cluster, exp(10.0E0 * sum(x.x * cu.m)) AS e FROM x JOIN cu USING (i) GROUP BY 1, 2) SELECT term, cluster, round(e / sum(e) OVER (PARTITION BY term), 6) AS p FROM d")
+#: A mixture whose concentrations and weights differ: kappa = 10 + label, weight in proportion to label + 1.
+MIXTURE_SQL = f"{DIM}, kp AS (SELECT DISTINCT label AS cluster, 10.0E0 + label AS kappa, label + 1.0E0 AS wt FROM embeddings), dm AS (SELECT max(len(embedding)) AS d FROM embeddings), bs AS (SELECT cluster, max(kappa) AS kappa, max(wt) AS wt, max((d / 2.0E0 - 1) * ln(kappa)) - ln(sum(exp((2 * m + d / 2.0E0 - 1) * ln(kappa / 2) - lgamma(m + 1.0E0) - lgamma(m + d / 2.0E0)))) AS c FROM kp, dm, (SELECT unnest(range(0, 120)) AS m) GROUP BY 1), nx AS (SELECT term, i, x / sqrt(sum(x * x) OVER (PARTITION BY term)) AS x FROM x), lj AS (SELECT term, cluster, max(ln(wt) + c) + sum(kappa * nx.x * cu.m) AS j FROM nx JOIN cu USING (i) JOIN bs USING (cluster) GROUP BY 1, 2), ex AS (SELECT term, cluster, exp(j - max(j) OVER (PARTITION BY term)) AS e FROM lj)"
+
+
+@query("vmf_posterior_fixed_params", f"WITH {MIXTURE_SQL} SELECT term, cluster, round(e / sum(e) OVER (PARTITION BY term), 6) AS p FROM ex")
 def vmf_fixed(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return clustering.fixed_posteriors(rows, _centroids(rows), 10.0).select("term", "cluster", r6("p").alias("p"))
+    centers = sorted(_centroids(rows).collect())  # labels x dimensions
+    labels, weights = [r["cluster"] for r in centers], np.array([r["cluster"] + 1.0 for r in centers])
+    mixture = clustering.Mixture(np.array([r["mu"] for r in centers]), weights / weights.sum(), np.array([10.0 + x for x in labels]))
+    found = clustering.posteriors(rows, mixture)
+    return found.select("term", F.get(F.array(*map(F.lit, labels)), F.col("cluster")).alias("cluster"), r6("p").alias("p"))
 
 
 NEAREST = f"{DIM}, d AS (SELECT term, cluster, round(sum(x.x * cu.m), 9) AS c FROM x JOIN cu USING (i) GROUP BY 1, 2), na AS (SELECT term, cluster AS b FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY c DESC, cluster) AS i FROM d) WHERE i = 1), la AS (SELECT vec_id AS term, label AS a FROM embeddings)"
@@ -506,13 +526,16 @@ def jaccard_clusters(spark, sf_dir):
     return clustering.overlaps(*_two_labelings(spark, sf_dir)).select("a", "b", r6("jaccard").alias("jaccard"))
 
 
-@query("cluster_intersection", f"WITH {NEAREST} SELECT term, a AS label FROM la JOIN na USING (term) WHERE a = b")
+JACCARD = f"{NEAREST}, jc AS (SELECT a, b, coalesce(n, 0) / CAST(na_ + nb_ - coalesce(n, 0) AS DOUBLE) AS jaccard FROM (SELECT a, count(*) AS na_ FROM la GROUP BY 1) CROSS JOIN (SELECT b, count(*) AS nb_ FROM na GROUP BY 1) LEFT JOIN (SELECT a, b, count(*) AS n FROM la JOIN na USING (term) GROUP BY 1, 2) USING (a, b)), pf AS (SELECT a, row_number() OVER (ORDER BY a) AS i, list(b ORDER BY round(jaccard, 9) DESC, b) AS bs FROM jc GROUP BY a), al(i, a, b, used) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS INT), CAST(NULL AS INT), CAST([] AS INT[]) UNION ALL SELECT pf.i, CAST(pf.a AS INT), CAST(list_filter(bs, lambda y: NOT list_contains(used, CAST(y AS INT)))[1] AS INT), list_append(used, CAST(list_filter(bs, lambda y: NOT list_contains(used, CAST(y AS INT)))[1] AS INT)) FROM al JOIN pf ON pf.i = al.i + 1)"
+
+
+@query("cluster_intersection", f"WITH RECURSIVE {JACCARD} SELECT la.term, la.a AS label FROM la JOIN na USING (term) JOIN al ON al.a = la.a AND al.b = na.b")
 def cluster_intersection(spark, sf_dir):
     a, b = _two_labelings(spark, sf_dir)
-    return clustering.agreed(a, b, {r[0]: r[0] for r in a.select("label").distinct().collect()})
+    return clustering.agreed(a, b, clustering.aligned(a, b))
 
 
-@query("cluster_align")
+@query("cluster_align", f"WITH RECURSIVE {JACCARD} SELECT a, b FROM al WHERE i > 0")
 def cluster_align(spark, sf_dir):
     a, b = _two_labelings(spark, sf_dir)
     return spark.createDataFrame(sorted(clustering.aligned(a, b).items()), "a int, b int")
@@ -538,51 +561,108 @@ def sgns_train(spark, sf_dir):
 
 # --- walks -------------------------------------------------------------------------------------------------------------
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.terms(spark, sf_dir).select(F.xxhash64("nid", F.lit(1)).alias("walk"), "nid")
+    return star.terms(spark, sf_dir).select(F.col("nid").alias("walk"), "nid")
+
+
+def _u(*keys: str) -> str:
+    """The draw of ``text.uniform`` in SQL."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 13) AS BIGINT) / 4503599627370496.0E0)"
+
+
+def _walks_sql(index: str, starts: str, steps: int, hop: str, back: str, damping: float = 0.8) -> str:
+    made = [f"ix AS MATERIALIZED ({index})", f"w0 AS MATERIALIZED ({starts})"]
+    for i in range(1, steps):
+        here = f"w{i - 1}"
+        goes = f"(SELECT *, {_u('walk', str(i), '0')} AS d FROM {here} WHERE {_u('walk', str(i), '1')} < {damping!r}) h"
+        made.append(f"w{i} AS MATERIALIZED (SELECT walk, start, ix.dst AS src FROM {goes} JOIN ix ON ix.src = h.src AND {hop} UNION ALL {back.format(here=here, stays=f'NOT ({_u("walk", str(i), "1")} < {damping!r})', i=i)})")
+    every = " UNION ALL ".join(f"SELECT walk, {i} AS step, src AS nid FROM w{i}" for i in range(steps))
+    return f"WITH {STAR}, " + ", ".join(made) + f", ww AS ({every})"
+
+
+PLACES = "SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS at, count(*) OVER (PARTITION BY src) AS n, sum(w) OVER (PARTITION BY src ORDER BY dst ROWS UNBOUNDED PRECEDING) AS hi, w, sum(w) OVER (PARTITION BY src) AS total FROM u"
+OWN_START = "SELECT walk, start, start FROM {here} WHERE {stays}"
+WALKERS = "SELECT nid AS walk, nid AS start, nid AS src FROM k"
+BY_PLACE, BY_WEIGHT = "ix.at = floor(h.d * ix.n)", "h.d * ix.total >= ix.hi - ix.w AND h.d * ix.total < ix.hi"
 
 
-@query("walks_uniform")
+@query("walks_uniform", f"{_walks_sql(PLACES, WALKERS, 6, BY_PLACE, OWN_START)} SELECT walk, step, nid FROM ww")
 def walks_uniform(spark, sf_dir):
     return walks.uniform_walks(_symmetric(spark, sf_dir), _starts(spark, sf_dir), 6)
 
 
-@query("walks_weighted")
+@query("walks_weighted", f"{_walks_sql(PLACES, WALKERS, 6, BY_WEIGHT, OWN_START)} SELECT walk, step, nid FROM ww")
 def walks_weighted(spark, sf_dir):
     return walks.uniform_walks(_symmetric(spark, sf_dir), _starts(spark, sf_dir), 6, weighted=True)
 
 
-@query("walks_metapath")
+def _metapath_sql(types: list[str], steps: int) -> str:
+    made = ["ix AS MATERIALIZED (SELECT src, dst, node_type AS kind, row_number() OVER (PARTITION BY src, node_type ORDER BY dst) - 1 AS at, count(*) OVER (PARTITION BY src, node_type) AS n FROM u JOIN n ON n.nid = u.dst)", f"w0 AS MATERIALIZED ({WALKERS})"]
+    for i in range(1, steps):
+        made.append(f"w{i} AS MATERIALIZED (SELECT walk, ix.dst AS src FROM (SELECT *, {_u('walk', str(i), '0')} AS d FROM w{i - 1}) h JOIN ix ON ix.src = h.src AND ix.kind = '{types[i % len(types)]}' AND {BY_PLACE})")
+    every = " UNION ALL ".join(f"SELECT walk, {i} AS step, src AS nid FROM w{i}" for i in range(steps))
+    return f"WITH {STAR}, " + ", ".join(made) + f" SELECT walk, step, nid FROM ({every})"
+
+
+@query("walks_metapath", _metapath_sql(["K", "P", "A", "P"], 6))
 def walks_metapath(spark, sf_dir):
     net = _net(spark, sf_dir)
     return walks.metapath_walks(symmetrized(net.edges), net.nodes, _starts(spark, sf_dir), ["K", "P", "A", "P"], 6)
 
 
-@query("ppr_mc")
+RESTARTS = "rs AS (SELECT nid, row_number() OVER (ORDER BY nid) AS hi, count(*) OVER () AS total FROM k)"
+MC_SQL = _walks_sql(PLACES, "SELECT nid || '/' || j AS walk, nid AS start, nid AS src FROM k, (SELECT unnest(range(0, 10)) AS j)", 10, BY_PLACE, f"SELECT b.walk, b.start, rs.nid FROM (SELECT *, {_u('walk', '{i}', '2')} AS d FROM {{here}} WHERE {{stays}}) b JOIN rs ON b.d * rs.total >= rs.hi - 1 AND b.d * rs.total < rs.hi").replace("ix AS MATERIALIZED", f"{RESTARTS}, ix AS MATERIALIZED", 1)
+
+
+@query("ppr_mc", f"{MC_SQL} SELECT nid, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) * 1E6, 3) AS p FROM ww GROUP BY 1")
 def ppr_mc(spark, sf_dir):
+    """Ten walks of ten nodes from each term, a tenth of the operator's defaults each."""
     reset = star.terms(spark, sf_dir).select("nid", F.lit(1.0).alias("p"))
-    return walks.monte_carlo_pagerank(_symmetric(spark, sf_dir), reset, 0.8, 10, 10).select("nid", r6("p").alias("p"))
+    return walks.monte_carlo_pagerank(_symmetric(spark, sf_dir), reset, 0.8, 10, 10).select("nid", F.round(F.col("p") * 1e6, 3).alias("p"))
 
 
-@query("context_samples")
+@query(
+    "context_samples",
+    f"WITH {STAR}, cx AS (SELECT kp.k AS term, CAST(pa.a AS VARCHAR) AS instance FROM kp JOIN pa USING (p) GROUP BY 1, 2), pl AS (SELECT term, instance, row_number() OVER (PARTITION BY term ORDER BY instance) - 1 AS spot, count(*) OVER (PARTITION BY term) AS n FROM cx), dr AS (SELECT term, seq, step, floor({_u(chr(39) + 'KPA' + chr(39), 'term', 'seq', 'step', '0')} * n) AS spot FROM (SELECT DISTINCT term, n FROM pl), (SELECT unnest(range(0, 40)) AS seq), (SELECT unnest(range(0, 4)) AS step)) SELECT 'KPA' AS motif, term, CAST(seq AS INT) AS seq, CAST(step AS INT) AS step, instance FROM dr JOIN pl USING (term, spot)",
+)
 def context_samples(spark, sf_dir):
     return motifs.sampled_sequences(motifs.TermAuthor().match(_net(spark, sf_dir)), 40, 4)
 
 
-@query("metapath_authority")
+def _metapath_authority_sql(rounds: int) -> str:
+    steps = ["s0 AS (SELECT src, 1.0E0 / count(*) OVER () AS score FROM (SELECT DISTINCT src FROM wn))"]
+    for i in range(1, rounds + 1):
+        steps.append(f"h{i} AS (SELECT dst, sum(score * w) AS h FROM s{i - 1} JOIN wn USING (src) GROUP BY 1), r{i} AS (SELECT src, sum(h * w) AS q FROM h{i} JOIN wn USING (dst) GROUP BY 1), s{i} AS MATERIALIZED (SELECT src, q / sum(q) OVER () AS score FROM r{i})")
+    return f"WITH {STAR}, {KPV_SQL}, {NORM_SQL.replace('r AS', 'rr AS', 1).replace('JOIN r USING', 'JOIN rr USING')}, " + ", ".join(steps) + f" SELECT src, round(score * 1E6, 3) AS score FROM s{rounds}"
+
+
+@query("metapath_authority", _metapath_authority_sql(10))
 def metapath_authority(spark, sf_dir):
-    found = ranking.metapath_authority(_kpv(spark, sf_dir))
-    return found.select("src", r6("score").alias("score"))
+    """Ten rounds, without an early end."""
+    found = ranking.metapath_authority(_kpv(spark, sf_dir), iterations=10, tolerance=0.0)
+    return found.select("src", F.round(F.col("score") * 1e6, 3).alias("score"))
 
 
-@query("adjacency", f"WITH {STAR} SELECT src, CAST(count(*) AS INT) AS n, min(dst) AS first, max(dst) AS last FROM u GROUP BY 1")
+@query("adjacency", f"WITH {STAR} SELECT src, CAST(count(*) AS INT) AS n, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM u GROUP BY 1")
 def adjacency(spark, sf_dir):
     lists = graph.adjacency(_symmetric(spark, sf_dir))
-    return lists.select("src", F.size("dst").alias("n"), F.get("dst", 0).alias("first"), F.element_at("dst", -1).alias("last"))
+    return lists.select("src", F.size("dst").alias("n"), F.array_join(F.col("dst").cast("array<string>"), ",").alias("neighbours"))
+
+
+@query("subsample_words", f"WITH w0 AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, p_name AS word FROM lineitem JOIN part ON l_partkey = p_partkey), v AS (SELECT word, count(*) / (1e-3 * sum(count(*)) OVER ()) AS q FROM w0 GROUP BY 1) SELECT doc_id, pos, word FROM w0 JOIN v USING (word) WHERE (sqrt(q) + 1) / q >= {_u('doc_id', 'pos', '0')}")
+def subsample_words(spark, sf_dir):
+    lines = star.table(spark, sf_dir, "lineitem").join(star.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    words = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("p_name").alias("word"))
+    return text_stats.subsampled(words, words.groupBy("word").agg(F.count("*").alias("cn")), 1e-3)
 
 
 @query("taxonomy_build")
 def taxonomy_build(spark, sf_dir):
-    """A small taxonomy over the whole star network: every node's scored terms."""
+    """A small taxonomy over the whole star network: every node's scored terms.
+
+    Smaller than the operator's defaults, so that it ends in a minute: one level of three children, sequences of 5 for
+    40, 16 dimensions and one epoch for 100 and 5, three rounds of PageRank for 10, and thresholds of 1 for 2 over the
+    number of children. All five motifs, and every document and term.
+    """
     from topicgrove.operators.embedding import Sgns
     from topicgrove.plans.taxonomy import Builder, Settings
     from topicgrove.sources.network import Config
@@ -593,7 +673,7 @@ def taxonomy_build(spark, sf_dir):
     corpus = corpus.withColumn("phrases", X.extract_phrases(F.col("text")))
     net = _net(spark, sf_dir)
     net = Network(net.nodes, symmetrized(net.edges))
-    settings = Settings(candidate_share=0.8, sgns=Sgns(dim=16, epochs=1), matchers=(motifs.TermVenue(), motifs.TermAuthor()), sequences=5, pagerank_rounds=3, factor=1.0)
+    settings = Settings(candidate_share=0.8, sgns=Sgns(dim=16, epochs=1), sequences=5, pagerank_rounds=3, factor=1.0)
     root = Builder(corpus, net, corpus.select("text", "phrases"), Config("", levels=(3,)), settings).build()
     rows = None
     for node in root.walk():

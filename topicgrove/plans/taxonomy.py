@@ -1,9 +1,10 @@
-"""Building a taxonomy: nodes of a level are expanded one after another, each step a plan over the node's rows."""
+"""Building a taxonomy: a level's nodes share one plan for statistics and scores, keyed by prefix; each is then expanded."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,37 +70,43 @@ class Builder:
         one = F.lit(1.0).alias("prior")
         self.root = Node("0", self.held(corpus.select("doc_id", one)), self.held(keywords.select("term", one)))
         self.vectors: DataFrame | None = None
+        self.net_vectors: DataFrame | None = None
 
     @staticmethod
     def held(df: DataFrame) -> DataFrame:
         return held(df)
 
-    def stats(self, docs: DataFrame, terms: DataFrame) -> DataFrame:
-        """(term, tf, idf) of terms over documents weighted by their prior."""
-        rows = self.corpus.join(docs, "doc_id")
-        return text_stats.tf_idf(text_stats.count_terms(rows, weight="prior"), phrases=terms)
-
-    def score(self, node: Node, parent: DataFrame, siblings: list[Node]) -> DataFrame:
-        level = node.level
-        own = self.stats(node.docs, node.terms).withColumns({"prefix": F.lit(node.prefix), "parent": F.lit("-")})
-        for s in siblings:
-            other = self.stats(s.docs, s.terms).withColumns({"prefix": F.lit(s.prefix), "parent": F.lit("-")})
-            own = own.unionByName(other)
-        lifts = decayed(self.config.tf_lift, level, self.config.lift_decay), decayed(self.config.idf_lift, level, self.config.lift_decay)
-        scored = contrast.node_contrast(own, parent.withColumn("parent", F.lit("-")), *lifts).where(F.col("prefix") == node.prefix)
-        return contrast.with_prior(scored, node.terms.withColumn("prefix", F.lit(node.prefix))).select("term", "score")
-
-    def cluster_scores(self, labels: DataFrame, node: Node, term_docs: DataFrame, lifts: tuple[float, float]) -> DataFrame:
-        """(label, term, score): each cluster's terms in the cluster's documents against the node's."""
+    def stats(self, nodes: list[Node]) -> DataFrame:
+        """(prefix, term, tf, idf) of each node's terms over its documents, weighted by their prior: one plan for all nodes."""
+        docs = self.keyed([(n.prefix, n.docs) for n in nodes])
+        terms = self.keyed([(n.prefix, n.terms) for n in nodes]).select("prefix", "term").distinct()
+        counts = self.held(text_stats.count_terms(self.corpus.join(docs, "doc_id"), "prefix", weight="prior"))
+        listed = terms.join(text_stats.term_sums(counts, "prefix"), ["prefix", "term"], "left")
+        return text_stats.from_sums(listed, text_stats.group_totals(counts, "prefix"), "prefix")
+
+    @staticmethod
+    def keyed(tables: list[tuple[str, DataFrame]]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.select(F.lit(prefix).alias("prefix"), "*") for prefix, t in tables])
+
+    def scores(self, nodes: list[Node], stats: DataFrame, parents: DataFrame) -> DataFrame:
+        """(prefix, term, score) of all nodes of a level against their parents (parent, term, tf) and siblings."""
+        level, c = nodes[0].level, self.config
+        lifts = decayed(c.tf_lift, level, c.lift_decay), decayed(c.idf_lift, level, c.lift_decay)
+        own = stats.withColumn("parent", F.regexp_replace("prefix", "/?[^/]*$", ""))
+        scored = contrast.node_contrast(own, parents, *lifts)
+        return contrast.with_prior(scored, self.keyed([(n.prefix, n.terms) for n in nodes])).select("prefix", "term", "score")
+
+    def cluster_scores(self, labels: DataFrame, own: DataFrame, term_docs: DataFrame, lifts: tuple[float, float]) -> DataFrame:
+        """(label, term, score): each cluster's terms in the cluster's documents against the node's statistics."""
         near = clustering.cluster_documents(labels, term_docs).withColumnRenamed("doc", "doc_id")
         rows = self.corpus.join(near, "doc_id")
         counts = text_stats.count_terms(rows, "label", weight="weight")
         stats = text_stats.tf_idf(counts, "label").join(labels, ["label", "term"], "left_semi")
-        return contrast.cluster_contrast(stats, self.stats(node.docs, node.terms), *lifts, "label")
+        return contrast.cluster_contrast(stats, own, *lifts, "label")
 
-    def expand(self, node: Node, n_children: int, parent: DataFrame, siblings: list[Node]) -> None:
+    def expand(self, node: Node, n_children: int, own: DataFrame) -> None:
+        """Give a scored node its children; ``own`` is the node's statistics (term, tf, idf)."""
         s, level = self.settings, node.level
-        node.scores = self.held(self.score(node, parent, siblings))
         if n_children < 1 or node.scores.isEmpty():
             return
         ids = lookup(self.network.nodes, node.terms.select(F.lit("K").alias("node_type"), F.col("term").alias("entity_id"))).where("nid is not null")
@@ -112,9 +119,9 @@ class Builder:
         sure = context.where(F.col("motif") == s.confident.name)
         net = self.sequences(sure)
         joint_net = Sgns(**{**trained.__dict__, "lam_net": 1.0})
-        net_vectors = joint_net.fit(lines, net, start=self.vectors)
+        net_vectors = joint_net.fit(lines, net, start=self.net_vectors)
         if level == 0:
-            self.vectors = self.held(word)
+            self.vectors, self.net_vectors = self.held(word), self.held(net_vectors)
 
         top = topk.top_k(node.scores, "score", max(n_children, topk.candidate_cut(node.terms.count(), s.candidates, s.candidate_share)), "term").select("term")
         a, _ = clustering.with_vectors(top, word)
@@ -123,7 +130,7 @@ class Builder:
         both = self.held(clustering.agreed(by_word, by_net, clustering.aligned(by_word, by_net)))
         term_docs = self.held(self.term_documents(papers, name))
         lifts = decayed(self.config.tf_lift, level + 1, self.config.lift_decay), decayed(self.config.idf_lift, level + 1, self.config.lift_decay)
-        anchors = topk.top_k_by(self.cluster_scores(both, node, term_docs, lifts), ["label"], "score", s.anchors, "term")
+        anchors = topk.top_k_by(self.cluster_scores(both, own, term_docs, lifts), ["label"], "score", s.anchors, "term")
         seeds = self.held(anchors.select(F.col("label").alias("cluster"), "term"))
         if seeds.isEmpty():
             return
@@ -134,7 +141,7 @@ class Builder:
         mixture = clustering.fit_vmf(self.held(x), n_children)
         soft = clustering.hard_labels(clustering.posteriors(x, mixture))
         # the clusters' own priors: default lifts, no decay
-        prior = self.cluster_scores(soft, node, term_docs, (self.config.tf_lift, self.config.idf_lift))
+        prior = self.cluster_scores(soft, own, term_docs, (self.config.tf_lift, self.config.idf_lift))
         every, _ = clustering.with_vectors(node.terms.select("term"), joint)
         child_terms = self.held(clustering.posteriors(every, mixture).where(F.col("p") > s.factor / n_children))
         reset = prior.where("score > 0").join(name, "term").select(F.col("label").alias("cluster"), "nid", F.col("score").alias("p"))
@@ -175,12 +182,14 @@ class Builder:
 
     def build(self) -> Node:
         """Expand level after level; one more level below the last is only scored."""
-        level = [(self.root, self.background, [])]
+        level, parents = [self.root], self.background.select(F.lit("").alias("parent"), "term", "tf")
         for n_children in (*self.config.levels, 0):
-            below = []
-            for node, parent, siblings in level:
-                self.expand(node, n_children, parent, siblings)
-                own = self.held(self.stats(node.docs, node.terms))
-                below += [(c, own, [x for x in node.children if x is not c]) for c in node.children]
-            level = below
+            if not level:
+                break
+            stats = self.held(self.stats(level))
+            scores = self.held(self.scores(level, stats, parents))
+            for node in level:
+                node.scores = scores.where(F.col("prefix") == node.prefix).select("term", "score")
+                self.expand(node, n_children, stats.where(F.col("prefix") == node.prefix).select("term", "tf", "idf"))
+            level, parents = [c for node in level for c in node.children], stats.select(F.col("prefix").alias("parent"), "term", "tf")
         return self.root

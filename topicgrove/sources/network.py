@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicgrove.functions.text import extract_phrases
+from topicgrove.sources.checkpoints import held
 
 
 @dataclass(frozen=True)
@@ -45,11 +46,11 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 def read_edges(spark: SparkSession, path: str, keep_weights: bool = True) -> DataFrame:
     """Lines of 2 or 3 tokens after the header; the weight is 1 unless given; other lines are skipped.
 
-    The header is the file's first line: two tokens that open the file, which ``_metadata`` tells apart.
+    Each file's first line is its header, which ``_metadata`` tells apart.
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    # the first line of the first block has the smallest number in that block
-    first = rows.where("block = 0").agg(F.min("n").alias("n"))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    # the first line of a file's first block has the smallest number in that block
+    first = rows.where("block = 0").groupBy("file").agg(F.min("n").alias("n")).select("n")
     parts = F.split(F.trim("value"), r"\s+")
     body = rows.join(F.broadcast(first), "n", "left_anti").select(parts.alias("t")).where(F.size("t").isin(2, 3))
     w = F.coalesce(F.try_element_at("t", F.lit(3)).try_cast("double"), F.lit(1.0)) if keep_weights else F.lit(1.0)
@@ -83,8 +84,16 @@ def load_graph(spark: SparkSession, data_dir: str, undirected: bool = True, drop
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of one text file, line numbers from 0 by the file's order."""
-    return spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("line long, value string")
+    """(line, value) of a text file or a folder of them, line numbers from 0 by file name and place.
+
+    Lines are counted in each block of a file on the JVM; a row a block moves them.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    each = Window.partitionBy("file", "block")
+    inside = held(rows.withColumn("inside", F.row_number().over(each.orderBy("at")) - 1))
+    sizes = inside.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = sizes.select("file", "block", (F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).alias("before"))
+    return inside.join(F.broadcast(before), ["file", "block"]).select((F.col("before") + F.col("inside")).alias("line"), "value")
 
 
 def load_documents(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -103,16 +112,20 @@ def read_background(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(term, vec) of a text file of vectors with a header of two numbers."""
+    """(term, vec) of a text file of vectors, with or without a header of two numbers: how many and how long."""
     parts = F.split(F.trim("value"), " ")
-    rows = spark.read.text(path).where(F.size(parts) > 2)
-    return rows.select(F.get(parts, 0).alias("term"), F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda x: x.cast("double")).alias("vec"))
+    rows = spark.read.text(path).select(parts.alias("t")).where(F.size("t") > 1)
+    seen = rows.agg(F.max(F.size("t") - 1).alias("dim"), F.count("*").alias("lines"))  # one row
+    whole = (F.size("t") == 2) & (F.get("t", 1).try_cast("long") == F.col("dim")) & F.get("t", 0).try_cast("long").isNotNull()
+    header = whole & ((F.col("dim") > 1) | (F.get("t", 0).try_cast("long") == F.col("lines") - 1))
+    body = rows.crossJoin(F.broadcast(seen)).where(~F.coalesce(header, F.lit(False)))
+    return body.select(F.get("t", 0).alias("term"), F.transform(F.slice("t", F.lit(2), F.size("t") - 1), lambda x: x.cast("double")).alias("vec"))
 
 
 def warm_start(vocabulary: DataFrame, saved: DataFrame, dim: int, start: DataFrame) -> DataFrame:
     """(term, vec): saved vectors of the right length where there are any, else those of ``start``."""
-    fit = saved.where(F.size("vec") == dim).select("term", F.col("vec").alias("_saved"))
-    return vocabulary.select("term").join(fit, "term", "left").join(start, "term", "left").select("term", F.coalesce("_saved", "vec").alias("vec"))
+    fit = saved.where(F.size("vec") == dim).select("term", F.col("vec").alias("saved_vec"))
+    return vocabulary.select("term").join(fit, "term", "left").join(start, "term", "left").select("term", F.coalesce("saved_vec", "vec").alias("vec"))
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -72,9 +72,36 @@ def dot_graph(terms: DataFrame, shrink_root: bool = True, max_level: int = 4, to
 
 
 def save_vectors(path: str, vectors: DataFrame) -> None:
-    """Text files of ``term v1 ... vn``; the count and the length are in a file of their own beside them."""
-    vectors.select(F.concat_ws(" ", "term", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")).alias("line")).write.mode("overwrite").text(path)
+    """Text files of ``term v1 ... vn``; the first line of the first one tells how many there are and how long they are."""
+    seen = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"))
+    header = seen.select(F.concat_ws(" ", F.col("n").cast("string"), F.coalesce("dim", F.lit(0)).cast("string")).alias("line"))
+    rows = vectors.select(F.concat_ws(" ", "term", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")).alias("line"))
+    header.coalesce(1).unionAll(rows).write.mode("overwrite").text(path)
 
 
 def save_vocabulary(path: str, vocabulary: DataFrame) -> None:
     vocabulary.select("word", "cn").write.mode("overwrite").csv(path, sep=" ")
+
+
+def save_dot(path: str, terms: DataFrame, **how) -> None:
+    """``dot_graph`` as one text file of the folder ``path``; the tree is as small as its top terms."""
+    spark = terms.sparkSession
+    spark.createDataFrame([(dot_graph(terms, **how),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def save_contexts(path: str, context: DataFrame, prefix: str, inputs: str) -> None:
+    """Motif contexts (motif, term, instance, w) of a node, kept by its prefix and by a name of what they were made from."""
+    context.write.mode("overwrite").partitionBy("motif").parquet(f"{path}/inputs={inputs}/node={file_safe_name(prefix)}")
+
+
+def load_contexts(spark: SparkSession, path: str, prefix: str, inputs: str) -> DataFrame | None:
+    """The contexts that ``save_contexts`` has kept for the node and the inputs; None if there are none."""
+    folder = f"{path}/inputs={inputs}/node={file_safe_name(prefix)}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema("term string, instance string, w double, motif string").parquet(folder).select("motif", "term", "instance", "w")
+
+
+def file_safe_name(prefix: str) -> str:
+    return prefix.replace("/", "_")
