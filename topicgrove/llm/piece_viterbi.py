@@ -143,14 +143,16 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text", keep
     """
     rows = numbered(docs)
     kinds = {"n_pieces": "long", "pieces_crc32": "long", "decoded_ok": "boolean"} | ({"piece_ids": "array<int>"} if keep_ids else {})
-    text = F.coalesce(F.col(f"c{place_of(docs, text_col)}").cast("string"), F.lit("")).alias("_encoded")
+    at = place_of(docs, text_col)  # the text is read where it stands, so that no batch holds it twice
+    if docs.schema.fields[at].dataType.simpleString() != "string":
+        raise TypeError(f"{text_col} is no string column")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = batch.column(batch.num_columns - 1).to_pylist()
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                texts = [t or "" for t in batch.column(at).to_pylist()]
                 coded = [model.encode(t) for t in texts]
                 sizes = np.array([len(c) // 4 for c in coded], np.int64)
                 right = [model.decode(c) == t.replace(SPACE, " ") for c, t in zip(coded, texts, strict=True)]
@@ -159,7 +161,7 @@ def encode_pieces(docs: DataFrame, model_file: str, text_col: str = "text", keep
                     ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                     flat = pa.array(np.frombuffer(b"".join(coded), "<i4"))
                     made.append(pa.ListArray.from_arrays(pa.array(ends), flat))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *kinds])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *kinds])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"{n} {k}" for n, k in kinds.items())])
-    return named_again(rows.select("*", text).mapInArrow(encode, schema), docs.columns, **{n: F.col(n) for n in kinds})
+    return named_again(rows.mapInArrow(encode, schema), docs.columns, **{n: F.col(n) for n in kinds})

@@ -85,13 +85,15 @@ def quality_profile(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows, names = numbered(docs), [c.split()[0] for c in _COLUMNS.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
-    text = F.col(f"c{place_of(docs, text_col)}").cast("string").alias("_measured")
+    at = place_of(docs, text_col)  # the text is read where it stands, so that no batch holds it twice
+    if docs.schema.fields[at].dataType.simpleString() != "string":
+        raise TypeError(f"{text_col} is no string column")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profile(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = [profile(t.as_py()) for t in batch.column(at)]
             made = [pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), _COLUMNS])
-    return named_again(rows.select("*", text).mapInArrow(measure, schema), docs.columns, **{n: F.col(n) for n in names})
+    return named_again(rows.mapInArrow(measure, schema), docs.columns, **{n: F.col(n) for n in names})
