@@ -22,15 +22,16 @@ def weighted_reset(seeds: DataFrame) -> DataFrame:
     return seeds.join(F.broadcast(total), "cluster").select("cluster", "nid", F.coalesce(F.try_divide("p", "_n"), F.lit(0.0)).alias("p"))
 
 
-#: neighbours in a row of an adjacency table, rows of one node that are kept together, rounds between two cuts of the plan
-CHUNK, TOGETHER, ROUNDS = 1024, 1024, 4
+#: neighbours in a row of an adjacency table, rows of one node that are kept together, rounds between two cuts of the plan,
+#: and clusters whose states stand side by side in a row
+CHUNK, TOGETHER, ROUNDS, ABREAST = 1024, 1024, 4, 16
 
 
-def dealt_adjacency(edges: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(src, part, to), to being arrays of (dst, share), dealt by (src, part); and (nid, parts) of the nodes of several parts.
+def dealt_adjacency(edges: DataFrame, weighted: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(src, part, to), to being arrays of (dst, share), dealt by node; and (nid, parts) of the nodes of several parts, if any.
 
     A node has a row for about CHUNK neighbours and a part for TOGETHER such rows, so that the neighbours of a node
-    that touches a third of all others are spread over the partitions.
+    that touches a third of all others are spread over the partitions: the table is then dealt by (src, part).
     """
     w = F.col("w").cast("double") if weighted else F.lit(1.0)
     out = edges.groupBy("src").agg(F.sum(w).alias("out"), F.ceil(F.count("*") / F.lit(CHUNK)).alias("rows"))
@@ -38,6 +39,8 @@ def dealt_adjacency(edges: DataFrame, weighted: bool = False) -> tuple[DataFrame
     lists = rows.groupBy("src", "rows", "row").agg(F.collect_list("one").alias("to"))
     parts = F.ceil(F.col("rows") / F.lit(TOGETHER))
     hubs = held(out.select(F.col("src").alias("nid"), parts.alias("parts")).where("parts > 1"))
+    if hubs.isEmpty():
+        return dealt(lists.select("src", F.lit(0).alias("part"), "to"), "src"), None
     return dealt(lists.select("src", F.pmod("row", parts).cast("int").alias("part"), "to"), "src", "part"), hubs
 
 
@@ -46,37 +49,51 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0
 
     ``reset`` (cluster, nid, p) sums to 1 in each cluster. Edges count alike unless ``weighted``. With a tolerance,
     rounds end once no cluster's L1 change exceeds it, at ``iterations`` at the latest. Edges are shuffled before the
-    first round alone; a round shuffles states, whose inflow is summed up on the map side and together with the reset.
+    first round alone. The clusters, children of one node, stand ABREAST in a node's row, so that a round makes a row
+    an edge whatever their number, and its inflow and reset are summed up on the map side.
     """
     step, hubs = dealt_adjacency(edges, weighted)
-    p = reset = held(reset.select("cluster", "nid", "p"))
+    reset = held(reset.select("cluster", "nid", "p"))
     sources = step.select("src").distinct()
     ends = step.select(F.explode("to").alias("t")).select(F.col("t.dst").alias("nid")).union(reset.select("nid")).distinct()
     dangling = held(ends.join(sources, F.col("nid") == F.col("src"), "left_anti"))
-    loses, split = not dangling.isEmpty(), not hubs.isEmpty()
-    back = reset.select("cluster", "nid", F.lit(0.0).alias("inflow"), F.col("p").alias("r"))
+    clusters = sorted(r[0] for r in reset.select("cluster").distinct().collect())  # children of one node
+    found = None
+    for i in range(0, len(clusters), ABREAST):
+        some = _ranked_abreast(step, hubs, None if dangling.isEmpty() else dangling, reset, clusters[i : i + ABREAST], damping, iterations, tolerance)
+        found = some if found is None else found.unionByName(some)
+    return reset if found is None else found
+
+
+def _ranked_abreast(step: DataFrame, hubs: DataFrame | None, dangling: DataFrame | None, reset: DataFrame, clusters: list, damping: float, iterations: int, tolerance: float | None) -> DataFrame:
+    names = [f"p{i}" for i in range(len(clusters))]
+    nothing = F.lit(0.0)
+    start = reset.groupBy("nid").agg(*[F.sum(F.when(F.col("cluster") == F.lit(c), F.col("p")).otherwise(nothing)).alias(n) for n, c in zip(names, clusters, strict=True)])
+    p = start = held(start)
     for i in range(iterations):
-        if split:
+        if hubs is not None:
             out = p.join(hubs, "nid", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)).cast("int") - 1)))
+            met = out.join(step, (F.col("nid") == step.src) & (out.part == step.part))
         else:
-            out = p.withColumn("part", F.lit(0))
-        met = out.join(step, (F.col("nid") == step.src) & (out.part == step.part)).select("cluster", "p", F.explode("to").alias("t"))
-        flow = met.select("cluster", F.col("t.dst").alias("nid"), (F.col("p") * F.col("t.share")).alias("inflow"), F.lit(0.0).alias("r"))
-        new = flow.unionByName(back).groupBy("cluster", "nid").agg(F.sum("inflow").alias("inflow"), F.sum("r").alias("r"))
-        inflow = F.col("inflow")
-        if loses:
-            lost = p.join(dangling, "nid", "left_semi").groupBy("cluster").agg(F.sum("p").alias("lost"))  # a row a cluster
-            new, inflow = new.join(F.broadcast(lost), "cluster", "left"), inflow + F.coalesce("lost", F.lit(0.0)) * F.col("r")
-        new = new.select("cluster", "nid", (F.lit(1 - damping) * F.col("r") + F.lit(damping) * inflow).alias("p"))
-        if loses or tolerance is not None or i % ROUNDS == ROUNDS - 1:
+            met = p.join(step, F.col("nid") == step.src)
+        flow = met.select(*names, F.explode("to").alias("t")).select(F.col("t.dst").alias("nid"), *[(F.lit(damping) * F.col(n) * F.col("t.share")).alias(n) for n in names])
+        if dangling is None:
+            back = start.select("nid", *[(F.lit(1 - damping) * F.col(n)).alias(n) for n in names])
+        else:
+            lost = p.join(dangling, "nid", "left_semi").agg(*[F.coalesce(F.sum(n), nothing).alias(f"lost_{n}") for n in names])  # one row
+            back = start.crossJoin(F.broadcast(lost)).select("nid", *[((F.lit(1 - damping) + F.lit(damping) * F.col(f"lost_{n}")) * F.col(n)).alias(n) for n in names])
+        new = flow.unionByName(back).groupBy("nid").agg(*[F.sum(n).alias(n) for n in names])
+        if dangling is not None or tolerance is not None or i % ROUNDS == ROUNDS - 1:
             new = held(new)
         if tolerance is not None:
-            both = new.select("cluster", "nid", "p").unionByName(p.select("cluster", "nid", (-F.col("p")).alias("p")))
-            change = both.groupBy("cluster", "nid").agg(F.sum("p").alias("c")).groupBy("cluster").agg(F.sum(F.abs("c")).alias("c"))
-            if (change.agg(F.max("c")).first()[0] or 0) <= tolerance:
-                return new
+            both = new.unionByName(p.select("nid", *[(-F.col(n)).alias(n) for n in names])).groupBy("nid").agg(*[F.abs(F.sum(n)).alias(n) for n in names])
+            change = both.agg(*[F.sum(n) for n in names]).first()
+            if max(change[: len(names)]) <= tolerance:
+                p = new
+                break
         p = new
-    return p
+    each = F.array(*[F.struct(F.lit(c).alias("cluster"), F.col(n).alias("p")) for n, c in zip(names, clusters, strict=True)])
+    return p.select("nid", F.explode(each).alias("x")).select(F.col("x.cluster").alias("cluster"), "nid", F.col("x.p").alias("p")).where("p > 0")
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 10) -> DataFrame:
