@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -76,6 +77,17 @@ def test_every_pair_within_four_bits_shares_a_posting():
     assert len(simhash.POSITIONS) == 20
 
 
+def test_the_count_of_shared_bytes_loses_no_link_and_spares_pairs():
+    rng = random.Random(6)
+    center = rng.getrandbits(64)
+    prints = np.array([center ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 9))) for _ in range(400)], np.uint64)
+    differing = (prints[:, None] ^ prints[None, :]).reshape(-1)
+    retained = simhash.shared_bytes(differing) >= simhash.LEAST_SHARED
+    linked = np.bitwise_count(differing) <= simhash.MOST_BITS
+    assert not (linked & ~retained).any()
+    assert (~retained).sum() > 0.3 * len(differing)
+
+
 def test_dense_clusters_lose_no_link(spark):
     """Fingerprints around a few centers 5 to 9 bits apart, in lists longer than a block."""
     rng, prints = random.Random(11), set()

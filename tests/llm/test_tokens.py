@@ -103,9 +103,12 @@ def test_counts_and_context_table(spark, corpus, edge, empty):
     assert token_counts.encoded_lengths(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
-def best_segmentation(model, chunk):
+def piece_scores(model):
+    return {p: (s, i) for p, (_, s, i) in model.automaton.items()}
+
+
+def best_segmentation(model, scores, chunk):
     """The best sum over all cuts, by trying every piece at every place."""
-    scores = {p: (s, i) for p, (_, s, i) in model.automaton.items()}
     best = [(0.0, [])] + [(float("-inf"), None)] * len(chunk)
     for end in range(1, len(chunk) + 1):
         options = []
@@ -122,10 +125,11 @@ def best_segmentation(model, chunk):
 
 def test_viterbi_finds_the_best_sum(corpus):
     model = piece_viterbi.piece_model(PIECES)
+    scores = piece_scores(model)
     texts = ["", "hello world", "  two  spaces ", "new\nline\n\n", "漢字 \U0001f600 é", "aaaaaaaaaaaaaaaaaaaaaaa", *[t[:400] for _, t in corpus[1][:60]]]
     for text in texts:
         whole = (" " + text).replace(" ", "▁") if text else ""
-        assert np.frombuffer(model.encode(text), "<i4").tolist() == (best_segmentation(model, whole) if whole else [])
+        assert np.frombuffer(model.encode(text), "<i4").tolist() == (best_segmentation(model, scores, whole) if whole else [])
         assert model.decode(model.encode(text)) == text
 
 
@@ -175,6 +179,23 @@ def test_segmentation_against_the_library_as_a_unigram_model(corpus):
     assert same >= 0.9 * total
 
 
+def test_piece_query_equals_plain_segmentation(spark, corpus):
+    """Every whole text of the table; a part is segmented by trying all pieces, and no piece crosses parts."""
+    model = piece_viterbi.piece_model(PIECES)
+    scores, known = piece_scores(model), {}
+    assert all("\u2581" not in p.lstrip("\u2581") and (p == "\n" or "\n" not in p) for p in scores)
+    got = {r["doc_id"]: r for r in queries.piece_encoding(spark, DATA).collect()}
+    assert len(got) == len(corpus[1])
+    for doc_id, text in corpus[1]:
+        whole, ids = (" " + text).replace(" ", "\u2581") if text else "", []
+        for part in re.findall("\n|\u2581*[^\u2581\n]+|\u2581+", whole):
+            if part not in known:
+                known[part] = best_segmentation(model, scores, part)
+            ids += known[part]
+        assert got[doc_id]["n_pieces"] == len(ids), doc_id
+        assert got[doc_id]["pieces_crc32"] == zlib.crc32(np.array(ids, "<i4").tobytes()), doc_id
+
+
 def test_piece_query_and_edges(spark, edge, empty):
     rows = queries.piece_encoding(spark, DATA).collect()
     assert all(r["decoded_ok"] for r in rows) and len(rows) == 1000
