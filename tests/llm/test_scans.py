@@ -158,6 +158,7 @@ def test_added_kinds(spark):
     texts = [
         "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432",
         "IBAN DE89 3704 0044 0532 0130 01",
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX; GB82 WEST 1234 5698 7654 32 NL91 ABNA 0417 1643 00 X",
         "amex card 378282246310005",
         "number 378282246310005",
         "ssn 219-09-9999, social security 000-12-3456",
@@ -168,11 +169,12 @@ def test_added_kinds(spark):
     got = {r["doc_id"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["pii"]] for r in pii.personal_data(df).collect()}
     assert got[0] == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")]
     assert got[1] == []
-    assert got[2] == [("short_card", "378282246310005")]
-    assert got[3] == []
-    assert got[4] == [("ssn", "219-09-9999")]
-    assert got[5] == []
-    assert [k for k, _ in got[6]] == ["secret"]
+    assert [s for _, s in got[2]] == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00"]
+    assert got[3] == [("short_card", "378282246310005")]
+    assert got[4] == []
+    assert got[5] == [("ssn", "219-09-9999")]
+    assert got[6] == []
+    assert [k for k, _ in got[7]] == ["secret"]
 
 
 def test_pii_query_equals_brute_force(spark, corpus):
