@@ -31,7 +31,7 @@ class Sgns:
     lam_net: float = 0.0
     lam_base: float = 0.0
     min_count: int = 2
-    partitions: int = 8
+    partitions: int = 0
     seed: int = 1
 
     def deeper(self, joint: bool = False) -> Sgns:
@@ -68,7 +68,8 @@ class Sgns:
         lines = corpus.select(tokens(F.col("text")).alias("words"), F.lit(False).alias("is_net"))
         if net is not None and self.lam_net > 0:
             lines = lines.unionByName(net.select(tokens(F.col("text")).alias("words"), F.lit(True).alias("is_net")))
-        lines = lines.repartition(self.partitions).persist()
+        parts = self.partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lines = lines.repartition(parts).persist()
         context = corpus.sparkSession.sparkContext
         for epoch in range(self.epochs):
             alpha = max(self.alpha * (1 - epoch / self.epochs), self.alpha * 1e-4)
