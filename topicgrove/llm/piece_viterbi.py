@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from topicgrove.llm.storage import named_again, numbered, place_of
 
 SPACE = "▁"
-#: characters of the chunks that are kept, about 40 MB with their ids, and of the longest of them
-CACHED_CHARS, LONGEST_KEPT = 3_000_000, 64
+#: characters of the chunks that are kept, about 50 MB with their ids, and of the longest of them
+CACHED_CHARS, LONGEST_KEPT = 1_200_000, 64
 #: below the worst piece, as the unigram model sets it for a character that no piece holds
 UNKNOWN_PENALTY = 10.0
 
