@@ -305,3 +305,20 @@ def test_short_lines_meet_as_often_as_stated(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     dropped = line_dedup.line_report(df).where("n_dropped > 0").count()
     assert 0.97 * 1500 <= dropped <= 1500  # a chance of 1 % each
+
+
+def test_shared_shingles_are_counted_exactly(spark):
+    """Lines with repeats, shorter than a shingle, beginnings of one another and beyond the BMP: only what differs is hashed."""
+    rng, pairs = random.Random(1), []
+    for _ in range(1500):
+        letters, n = rng.choice(["ab", "abcdefghij", "a\U0001f600\u00e9\u6f22 b"]), rng.choice([1, 5, 11, 12, 13, 20, 60, 200])
+        a = b = "".join(rng.choices(letters, k=n)) * rng.choice([1, 1, 2, 3])
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(len(b) + 1)
+            b = b[:k] + "".join(rng.choices(letters, k=rng.randrange(3))) + b[k + rng.randrange(3) :]
+        b = rng.choice([b] * 6 + [a + b, b + a, a[: len(a) // 2], a[len(a) // 3 :]])
+        if a and b and a != b:
+            pairs.append((a, b, len(line_set(a)), len(line_set(b)), len(line_set(a) & line_set(b))))
+    df = spark.createDataFrame(pairs, "of_a string, of_b string, a_size int, b_size int, want int")
+    both = line_dedup.let(F.encode("of_a", "UTF-32"), lambda p: line_dedup.let(F.encode("of_b", "UTF-32"), lambda q: line_dedup._shared_shingles(p, q)))
+    assert len(pairs) > 1000 and df.where(both != F.col("want")).count() == 0

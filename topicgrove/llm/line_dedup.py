@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ PIVOTS, BLOCK = 32, 1024
 PARITY = 8
 #: Bytes of a character in UTF-32, so that a place is found without reading what is before it.
 _WIDE = 4
+#: Octets by which a common beginning or end of two lines is told, in turn: to 8 characters, of 16,376 at most.
+STEPS = tuple(_WIDE << k for k in range(13, 2, -1))
 #: Shingles of a row of the exploded lines: their values are compared before the row is looked up in the aggregation.
 STRIDE = 4
 
@@ -42,7 +46,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, doc_hash, line_no, line, k1, k2, place) of the lines that are not blank."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    rows = rows.where(F.btrim("line", F.lit(" \t\r\x0b\x0c")) != "")
+    rows = rows.where(F.ltrim("line", F.lit(" \t\r\x0b\x0c")) != "")  # trimming an end lists all characters before it
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line"), "place": F.xxhash64("doc_id", "doc_hash", "line_no")})
 
 
@@ -72,14 +76,48 @@ def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     return written(once.join(wanted.select("pick", "k1"), ["pick", "k1"], "left_semi").dropDuplicates(["k1"]).select("k1", "line"), "texts")
 
 
+def _common(p: Column, q: Column, at: Callable[[Column, Column, Column], Column], most: Column) -> Column:
+    """Octets, ``most`` at most, of a stretch of ``p`` and ``q`` that is equal: all of it but for few, found by halving."""
+    equal = lambda n, w: (n + w <= most) & (F.substring(p, at(p, n, w) + 1, w) == F.substring(q, at(q, n, w) + 1, w))
+    return F.aggregate(F.array(*map(F.lit, STEPS)), F.lit(0), lambda n, w: F.when(equal(n, w), n + w).otherwise(n))
+
+
+def _shared_shingles(p: Column, q: Column) -> Column:
+    """How many shingles the sets of two lines share, of ``a_size`` and ``b_size``.
+
+    Shingles inside a common beginning or end are in both sets. Of those that touch what is between, the ones that
+    the other line has not between are missing from it, unless its beginning or end repeats them: they are then
+    repeated in their own line too, so a line as many of whose shingles differ as it has places cannot hold one. Where
+    both lines repeat shingles, those of one between are sought in the whole other line.
+    """
+    size = F.octet_length
+    least = F.least(size(p), size(q))
+    whole = least < _WIDE * SHINGLE  # a shorter line is a shingle of its own, which no longer line has
+    ahead = F.when(whole, 0).otherwise(_common(p, q, lambda x, n, w: n, least))
+    behind = lambda n: F.when(whole, 0).otherwise(_common(p, q, lambda x, m, w: size(x) - m - w, least - n))
+
+    def counted(n: Column, m: Column) -> Column:
+        first = F.greatest(F.lit(0), n - _WIDE * (SHINGLE - 1))
+        last = lambda x: F.least(F.greatest(F.lit(0), size(x) - _WIDE * SHINGLE), size(x) - m - _WIDE)
+        places = lambda x: F.when(first <= last(x), F.sequence(first, last(x), F.lit(_WIDE))).otherwise(F.array().cast("array<int>"))
+        between = lambda x: F.transform(places(x), lambda at: _hashed(x, at))
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), size(q) - _WIDE * SHINGLE), F.lit(_WIDE)), lambda at: _hashed(q, at))
+        once = lambda x, n_: whole | (size(x) - _WIDE * (SHINGLE - 1) == _WIDE * n_)
+        lacks = lambda x, y: F.size(F.array_except(x, y))
+        a, b = F.col("a_size"), F.col("b_size")
+        return F.when(once(p, a), a - lacks(between(p), between(q))).when(once(q, b), b - lacks(between(q), between(p))).otherwise(a - lacks(between(p), every))
+
+    return let(ahead, lambda n: let(behind(n), lambda m: counted(n, m)))
+
+
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets have an exact Jaccard similarity of THRESHOLD at least."""
     one = texts.select(F.col("k1").alias("a"), F.col("line").alias("of_a"))
     two = texts.select(F.col("k1").alias("b"), F.col("line").alias("of_b"))
-    sets = pairs.join(one, "a").join(two, "b").select("a", "b", shingle_hashes(F.col("of_a")).alias("in_a"), shingle_hashes(F.col("of_b")).alias("in_b"))
-    measured = sets.select("a", "b", F.size(F.array_intersect("in_a", "in_b")).alias("both"), F.size(F.array_union("in_a", "in_b")).alias("all"))
+    both = let(F.encode("of_a", "UTF-32"), lambda p: let(F.encode("of_b", "UTF-32"), lambda q: _shared_shingles(p, q)))
     # filtered once it is written: the filter would move below and make the sets again
-    return written(measured, "alike").where(F.col("both") >= F.lit(THRESHOLD) * F.col("all")).select("a", "b")
+    measured = written(pairs.join(one, "a").join(two, "b").select("a", "b", "a_size", "b_size", both.alias("both")), "alike")
+    return measured.where(F.col("both") >= F.lit(THRESHOLD) * (F.col("a_size") + F.col("b_size") - F.col("both"))).select("a", "b")
 
 
 def _named(rows: DataFrame, label: DataFrame, key: str, name: str) -> DataFrame:
@@ -156,7 +194,7 @@ def _met_first() -> Column:
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    return written(met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b")), "pairs")
+    return written(met.select(F.col("a_k1").alias("a"), F.col("b_k1").alias("b"), "a_size", "b_size"), "pairs")
 
 
 def _with_heads(shared: DataFrame, marks: DataFrame) -> DataFrame:
@@ -178,7 +216,7 @@ def _with_pivots(members: DataFrame) -> DataFrame:
     right = _side(marked.where("pivot"), "b", F.col("bucket"), every, more=("comp",))
     once = ~F.col("a_pivot") | (F.col("a_k1") < F.col("b_k1"))
     met = left.join(right, ["bucket", "i"]).where(once & (F.col("a_comp") != F.col("b_comp")) & _may_be_alike())
-    return _pairs(met.select("a_k1", "b_k1").distinct())
+    return _pairs(met.select("a_k1", "b_k1", "a_size", "b_size").distinct())
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
