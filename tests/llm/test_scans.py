@@ -207,3 +207,24 @@ def test_openrail_in_one_word_is_found(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = [[d["label"] for d in r["scan"]["detections"]] for r in license_scan.license_scan(df).orderBy("doc_id").collect()]
     assert got == [["rail"]] * 4
+
+
+def test_license_gate_reads_a_letter_once_and_opens_as_before(spark):
+    """At a word's start the gate tries a way for each letter, not one for each keyword; words are counted without a list of matches."""
+    gate, keys = license_scan.gate(), {k for _, _, k, _ in rules()} | {"cc", "license", "reserved"}
+    least = sorted(k for k in keys if not any(k != o and k.startswith(o) for o in keys))
+    depth, firsts = 0, []
+    for i, c in enumerate(gate.partition("[^0-9A-Za-z])")[2]):
+        depth += (c == "(") - (c == ")")
+        if depth == 1 and (c == "|" or not i):
+            firsts.append(gate.partition("[^0-9A-Za-z])")[2][i + (1 if c == "|" else 3)])
+    assert sorted(firsts) == sorted({k[0] for k in least})
+    texts = [f"{before}{w}{after}" for k in least for w in (k, k.upper(), k[:-1], k[1:]) for before in ("", "x ", "9", "\u00e9", "\n") for after in ("", "s", "-")]
+    texts += ["", " ", "a", " a", "a ", " a  b ", "\u00e9", "\u2028", "--", "a-\U0001f600-b\x7f", "\x00", None]
+    plain = re.compile("(?<![0-9A-Za-z])(?:" + "|".join(least) + ")", re.I | re.A)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in license_scan.license_scan(df).withColumn("open", F.col("text").rlike(gate)).collect():
+        assert r["scan"]["n_words"] == len(words(r["text"])), repr(r["text"])
+        assert r["text"] is None or r["open"] == bool(plain.search(r["text"])), repr(r["text"])
+    plan = license_scan.license_scan(df).select("scan.n_words")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicgrove.llm.license_rules import BASE_PHRASES, rules
-from topicgrove.llm.storage import named_again, numbered, place_of, scanned
+from topicgrove.llm.storage import let, named_again, numbered, place_of, scanned
 
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _SPAN = "struct<start:int,length:int,priority:int,rule:int,label:string>"
 #: trust in a detection by its priority
 SCORES = (0.25, 0.6, 0.9, 1.0)
@@ -24,9 +25,8 @@ def _indexed(pattern: str) -> str:
 
 def _places(indexed: Column, pattern: Column) -> Column:
     """(start, words) of each match: the first index is in the text, the length is that of the match."""
-    starts = F.regexp_extract_all(indexed, pattern, F.lit(1))
     whole = F.regexp_extract_all(indexed, pattern, F.lit(0))
-    return F.zip_with(starts, whole, lambda a, b: F.struct(a.cast("int").alias("start"), (F.length(b) - F.length(F.replace(b, F.lit(" "), F.lit(""))) + 1).alias("length")))
+    return F.transform(whole, lambda m: F.struct(F.substring_index(m, ":", 1).cast("int").alias("start"), (F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1).alias("length")))
 
 
 def _labelled(places: Column, label: str) -> Column:
@@ -45,11 +45,28 @@ def _rule_table() -> Column:
     return F.array(*entries)
 
 
+def _by_letter(keys: list[str]) -> str:
+    """An expression for any of the keys, none of which begins another, that reads a letter they share once."""
+    if len(keys) == 1:
+        return re.escape(keys[0])
+    rest: dict[str, list[str]] = {}
+    for k in keys:
+        rest.setdefault(k[0], []).append(k[1:])
+    ways = [re.escape(c) + _by_letter(some) for c, some in rest.items()]
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
 def gate() -> str:
     """One expression that finds a keyword at a word's start; texts without any hold no detection."""
     keys = {k for _, _, k, _ in rules()} | {p.split()[0] if label == "cc-by" else p.split()[-1] for p, label in BASE_PHRASES}
     least = sorted(k for k in keys if not any(k != o and k.startswith(o) for o in keys))
-    return r"(?i)(?<![0-9A-Za-z])(?:" + "|".join(map(re.escape, least)) + ")"
+    return r"(?i)(?:\A|[^0-9A-Za-z])" + _by_letter(least)
+
+
+def _n_words(text: Column) -> Column:
+    """The number of words, from what stands between separators: only before the first and after the last it may be empty."""
+    empty = lambda w: (w == "").cast("int")
+    return let(F.split(text, _BETWEEN), lambda p: F.size(p) - empty(F.get(p, F.lit(0))) - F.when(F.size(p) > 1, empty(F.element_at(p, -1))).otherwise(0))
 
 
 def _unsuppressed(found: Column) -> Column:
@@ -115,7 +132,7 @@ def license_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     trust = F.transform(F.col("_found"), lambda d: F.element_at(F.array(*map(F.lit, SCORES)), d["priority"] + 1))
     best = F.greatest(F.coalesce(F.array_max(trust), F.lit(0.0)), F.when(F.size("_base") > 0, 0.6).otherwise(0.0))
-    scan = F.struct(F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.col("_base").alias("base"), F.col("_found").alias("detections"), best.alias("score"))
+    scan = F.struct(_n_words(text).cast("long").alias("n_words"), F.col("_base").alias("base"), F.col("_found").alias("detections"), best.alias("score"))
     return named_again(made, docs.columns, scan=scan)
 
 
