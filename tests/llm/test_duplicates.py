@@ -322,3 +322,26 @@ def test_shared_shingles_are_counted_exactly(spark):
     df = spark.createDataFrame(pairs, "of_a string, of_b string, a_size int, b_size int, want int")
     both = line_dedup.let(F.encode("of_a", "UTF-32"), lambda p: line_dedup.let(F.encode("of_b", "UTF-32"), lambda q: line_dedup._shared_shingles(p, q)))
     assert len(pairs) > 1000 and df.where(both != F.col("want")).count() == 0
+
+
+def test_marks_are_of_sets_and_made_in_compiled_code(spark, monkeypatch):
+    """Lines with repeats, of one shingle, about a run's length, long and beyond the BMP: each moves once, and no list is interpreted."""
+    rng = random.Random(9)
+    run = line_dedup.RUN
+    texts = ["a", "ab" * 40, "x" * 500, "\U0001f600é漢" * 30, "only eleven", "just twelve!"]
+    texts += ["".join(rng.choices("abcdefghij é漢\U0001f600", k=n)) for n in (run + 10, run + 11, run + 12, 2 * run + 11, 2 * run + 12, 3000)]
+    texts += [x + x[: len(x) // 2] for x in texts[6:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "k1 long, line string")
+    monkeypatch.setattr(line_dedup, "written", lambda made, name: made)
+    marks = line_dedup._marks(df)
+    got = {r["k1"]: (r["size"], [r[f"p{w}"] % 2**64 for w in range(line_dedup.PARITY)]) for r in marks.collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        hashes = {xxhash.xxh64_intdigest(s.encode("utf-32-be"), 42) for s in line_set(text)}
+        words = [0] * line_dedup.PARITY
+        for h in hashes:
+            words[(h >> 6) % line_dedup.PARITY] ^= 1 << (h & 63)
+        want[i] = (len(hashes), words)
+    assert got == want
+    plan = marks._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan.lower() and plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1

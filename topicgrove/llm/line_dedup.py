@@ -26,6 +26,8 @@ _WIDE = 4
 STEPS = tuple(_WIDE << k for k in range(13, 2, -1))
 #: Shingles of a row of the exploded lines: their values are compared before the row is looked up in the aggregation.
 STRIDE = 4
+#: Hashes that compiled code puts in one array; functions over lists of places are interpreted, at several times the cost.
+RUN = 32
 
 
 def _last(points: str) -> Column:
@@ -36,10 +38,16 @@ def _hashed(points: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(points, at + 1, F.lit(_WIDE * SHINGLE)))
 
 
-def shingle_hashes(line: Column) -> Column:
-    """The 64-bit hashes of a line's shingles, place by place."""
-    each = lambda p: F.sequence(F.lit(0), F.greatest(F.lit(0), F.octet_length(p) - _WIDE * SHINGLE), F.lit(_WIDE))
-    return let(F.encode(line, "UTF-32"), lambda p: F.transform(each(p), lambda at: _hashed(p, at)))
+def _set_hashes(rows: DataFrame, key: str, line: str) -> DataFrame:
+    """(key, hashes): the 64-bit hashes of each line's set of shingles, for rows that are dealt by ``key``, one a key.
+
+    Compiled code makes them, RUN in an array, and a line's arrays come together where they are made. The last array
+    repeats its last hash, and lines repeat shingles: each hash stays once.
+    """
+    coded = rows.select(key, F.encode(line, "UTF-32").alias("points")).withColumn("last", _last("points"))
+    each = coded.select(key, "points", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(_WIDE * RUN))).alias("at"))
+    some = F.array(*[_hashed(F.col("points"), F.least(F.col("at") + _WIDE * j, F.col("last"))) for j in range(RUN)])
+    return each.select(key, some.alias("some")).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("some"))).alias("hashes"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,9 +158,9 @@ def _marks(texts: DataFrame) -> DataFrame:
     """(k1, size, p0, p1, ...): the size of each line's shingle set, and its parity.
 
     A bit of the parity is that of the number of elements that hash to it, so sets that differ in d elements have
-    parities that differ in d bits at most.
+    parities that differ in d bits at most. Lines are dealt by k1 once: nothing made of a line moves again.
     """
-    each = texts.select("k1", F.explode(F.array_distinct(shingle_hashes(F.col("line")))).alias("h"))
+    each = _set_hashes(texts.repartition("k1"), "k1", "line").select("k1", F.explode("hashes").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITY - 1)).cast("int")
     words = each.select("k1", word.alias("word"), bit.alias("bit")).groupBy("k1", "word").agg(F.count("*").alias("n"), F.bit_xor("bit").alias("bits"))
